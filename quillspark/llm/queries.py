@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Vocabulary of byte-level BPE, among the installed public tokenizers.
+BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,8 +29,16 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    from .byte_bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizers.path(BYTE_BPE), tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    return {f.__name__: f for f in (op2_byte_bpe, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
