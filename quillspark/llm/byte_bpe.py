@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filled
+from .common import Shared, filled
 
 #: Pre-tokens whose ids a Python worker keeps; at this size the cache starts anew.
 CACHE_PIECES = 400_000
@@ -166,9 +166,9 @@ class _Pieces(dict):
         return joined
 
 
-def _codec(docs: DataFrame, path: str, pattern: str):
-    """The codec as a broadcast value; its size is the vocabulary's."""
-    return docs.sparkSession.sparkContext.broadcast(ByteBPE(load_ranks(path), pattern))
+def _codec(docs: DataFrame, path: str, pattern: str) -> Shared:
+    """The codec, broadcast; its size is the vocabulary's."""
+    return Shared(docs.sparkSession, ByteBPE(load_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

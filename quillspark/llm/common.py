@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,20 @@ def crc_mod(col: str | Column, n: int) -> Column:
     return F.crc32(F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+class Shared:
+    """An object of bounded size that each Python worker unpickles once and keeps, with what it caches, for its life."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        kept = self.sent.__dict__  # a worker holds one Broadcast object for all its tasks
+        if "_quill" not in kept:
+            kept["_quill"] = cloudpickle.loads(self.sent.value)
+        return kept["_quill"]
+
+
 def passes(texts: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array that hold about ``limit`` bytes each, whole documents only."""
     n = len(texts)
