@@ -50,11 +50,12 @@ class Words:
         return np.fromiter((xxhash.xxh64_intdigest(v, seed) for v in self.values.to_pylist()), np.uint64, len(self.values))
 
 
-def words_of(texts: pa.Array, lower: bool) -> Words:
+def words_of(texts: pa.Array, lower: bool, between: np.ndarray = IS_SPACE) -> Words:
+    """Words of each text. between: a flag for each byte value that is not part of a word."""
     data, offsets = raw_bytes(texts)
     if lower:
         data = LOWER[data]
-    space = IS_SPACE[data]
+    space = between[data]
     word = ~space
     first = word.copy()
     first[1:] &= space[:-1]
