@@ -22,6 +22,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -57,7 +63,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op9_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op7_near_dedup, op9_quality_rules, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
