@@ -28,6 +28,15 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .line_dedup import dedup_lines
+
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -63,7 +72,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op7_near_dedup, op9_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
