@@ -22,6 +22,44 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+#: The bisection runs over one row with a list of the sources' tokens.
+MIX_CTES = r"""
+units AS (SELECT doc_id, coalesce(source, '') AS source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))) AS BIGINT) AS n_tokens
+          FROM {docs} GROUP BY ALL),
+sources AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS t, count(*) AS n FROM units GROUP BY source),
+shares AS (SELECT list(t / tt ORDER BY source) AS s FROM sources, (SELECT sum(t) AS tt FROM sources) WHERE t > 0),
+bisect AS (SELECT 0 AS low, 4194304 AS high, 0 AS i UNION ALL
+           SELECT CASE WHEN ok THEN low ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE high END, i + 1 FROM (
+             SELECT low, high, i, mid,
+                    -list_sum(list_transform(w, lambda x: x * ln(x))) <= 0.95 * ln(len(s)) + 1e-12
+                    AND list_max(list_transform(range(1, len(s) + 1), lambda j: w[j] / s[j])) <= 3.0 + 1e-12 AS ok
+             FROM (SELECT low, high, i, mid, s, list_transform(p, lambda x: x / list_sum(p)) AS w
+                   FROM (SELECT low, high, i, (low + high) // 2 AS mid, s, list_transform(s, lambda x: pow(x, ((low + high) // 2) / 1048576.0)) AS p
+                         FROM bisect, shares WHERE low < high)))),
+found AS (SELECT arg_max(low, i) AS k FROM bisect),
+powers AS (SELECT source, t, n, pow(t / tt, k / 1048576.0) AS p, tt FROM sources, found, (SELECT sum(t) AS tt FROM sources) WHERE t > 0),
+budgets AS (SELECT source, t, n, CAST(round(p / (SELECT sum(p) FROM powers) * 1e9) AS HUGEINT) * CAST(tt AS HUGEINT) // 1000000000 AS b FROM powers),
+plan AS (SELECT source, CAST(b // t AS BIGINT) AS passes, CAST(b % t AS BIGINT) AS rest, (n + 4095) // 4096 AS blocks FROM budgets),
+dealt AS (SELECT u.*, passes, rest, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block
+          FROM units u JOIN plan USING (source)),
+rows_ AS (SELECT *, unnest(range(0, passes + 1)) AS pass FROM dealt),
+blocks_ AS (SELECT source, pass, block, row_number() OVER o AS block_rank, CAST(sum(t) OVER (o ROWS UNBOUNDED PRECEDING) - t AS BIGINT) AS before
+            FROM (SELECT source, pass, block, sum(n_tokens) AS t FROM rows_ GROUP BY ALL)
+            WINDOW o AS (PARTITION BY source, pass ORDER BY md5('17|' || pass || '|block|' || block), block)),
+placed AS (SELECT *, row_number() OVER o AS place, CAST(sum(n_tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM rows_
+           WINDOW o AS (PARTITION BY source, pass, block ORDER BY md5('17|' || pass || '|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id)),
+mixed AS (SELECT doc_id, source, n_tokens, pass, block_rank, place FROM placed JOIN blocks_ USING (source, pass, block)
+          WHERE pass < passes OR before + upto <= rest)
+"""
+OP5_SQL = "WITH RECURSIVE " + MIX_CTES.format(docs="documents").strip() + " SELECT * FROM mixed"
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -72,8 +110,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op5_mix_sources, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op10_exact_dedup": OP10_SQL}
