@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    from .lm_score import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), tokenizers.path(BYTE_BPE))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import detect_toxicity
 
@@ -110,7 +118,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op4_toxicity, op5_mix_sources, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_lm_score, op4_toxicity, op5_mix_sources, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
