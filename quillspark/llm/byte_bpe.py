@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, filled
+from .common import Shared, filled, passes
 
 #: Pre-tokens whose ids a Python worker keeps; at this size the cache starts anew.
 CACHE_PIECES = 400_000
@@ -218,3 +218,22 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: the ids of each whole text, and proof that they decode to it."""
+    codec = _codec(docs, path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec.value
+        for batch in batches:
+            for a, b in passes(filled(batch, "text")):
+                joined = [bpe.encode_joined(t.as_py()) for t in filled(batch, "text")[a:b]]
+                ids = [np.fromiter(map(int, j.split(",")), np.int32) if j else np.zeros(0, np.int32) for j in joined]
+                ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in xs], pa.string()) for xs in ((j.encode() for j in joined), map(bpe.decode_joined, joined))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(np.diff(ends).astype(np.int64)), lists, *digests], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

@@ -95,3 +95,12 @@ def mix_sources(docs: DataFrame, target: Target = Target(), budget: int | None =
     placed = rows.withColumn("h", doc_hash).select("doc_id", "source", "n_tokens", "pass", "passes", "rest", "block", F.row_number().over(inside).alias("place"), F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     placed = placed.join(blocks, ["source", "pass", "block"]).where("pass < passes OR before + upto <= rest")
     return placed.select("doc_id", "source", "n_tokens", "pass", F.col("block_rank").cast("long").alias("block_rank"), F.col("place").cast("long").alias("place"))
+
+
+def mixed_documents(docs: DataFrame, target: Target = Target(), budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as often as mix_sources() takes them: not at all, once, or once in each of several passes."""
+    mixed = mix_sources(docs, target, budget, seed, id_col, text_col, source_col)
+    taken = mixed.groupBy(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source")).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("taken_id")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("taken_source"))
+    whole = docs.join(taken.hint("merge"), same).select(F.struct(*docs.columns).alias("whole"), F.explode(F.sequence(F.lit(1), "times")).alias("turn"))
+    return whole.select(*(F.col("whole")[c].alias(c) for c in docs.columns))
