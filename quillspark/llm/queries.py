@@ -68,6 +68,31 @@ mixed AS (SELECT doc_id, source, n_tokens, pass, block_rank, place FROM placed J
 OP5_SQL = "WITH RECURSIVE " + MIX_CTES.format(docs="documents").strip() + " SELECT * FROM mixed"
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .chat import rotate_perspectives
+
+    segments = rotate_perspectives(table(spark, sf_dir, "conversations"))
+    return segments.select("conv_id", "perspective", "turn", "place", "start", "mask_start", "mask_end", "is_target", F.sha2(F.col("segment").cast("binary"), 256).alias("segment_sha256"))
+
+
+OP6_SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+people AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
+seen AS (SELECT conv_id, perspective, turn, speaker, text, speaker = perspective AS is_target,
+                '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS header
+         FROM t JOIN people ON conv_id IS NOT DISTINCT FROM c),
+whole AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM seen),
+placed AS (SELECT *, row_number() OVER w AS place, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment) AS at
+           FROM whole WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
+SELECT conv_id, perspective, turn, place, CAST(at AS BIGINT) AS start,
+       CASE WHEN is_target THEN CAST(at + length(header) AS BIGINT) END AS mask_start,
+       CASE WHEN is_target THEN CAST(at + length(segment) AS BIGINT) END AS mask_end, is_target, sha256(segment) AS segment_sha256
+FROM placed
+"""
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -124,8 +149,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_lm_score, op4_toxicity, op5_mix_sources, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_lm_score, op4_toxicity, op5_mix_sources, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
