@@ -84,11 +84,11 @@ seen AS (SELECT conv_id, perspective, turn, speaker, text, speaker = perspective
                 '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS header
          FROM t JOIN people ON conv_id IS NOT DISTINCT FROM c),
 whole AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM seen),
-placed AS (SELECT *, row_number() OVER w AS place, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment) AS at
+placed AS (SELECT *, row_number() OVER w AS place, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment) AS off
            FROM whole WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
-SELECT conv_id, perspective, turn, place, CAST(at AS BIGINT) AS start,
-       CASE WHEN is_target THEN CAST(at + length(header) AS BIGINT) END AS mask_start,
-       CASE WHEN is_target THEN CAST(at + length(segment) AS BIGINT) END AS mask_end, is_target, sha256(segment) AS segment_sha256
+SELECT conv_id, perspective, turn, place, CAST(off AS BIGINT) AS start,
+       CASE WHEN is_target THEN CAST(off + length(header) AS BIGINT) END AS mask_start,
+       CASE WHEN is_target THEN CAST(off + length(segment) AS BIGINT) END AS mask_end, is_target, sha256(segment) AS segment_sha256
 FROM placed
 """
 
