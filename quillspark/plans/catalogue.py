@@ -1 +1,3 @@
 """Imports the modules that register queries."""
+
+from . import metric_queries  # noqa: F401
