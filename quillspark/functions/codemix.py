@@ -38,20 +38,23 @@ def switch_count(langs: Column) -> Column:
 def classify(tags: Column) -> Column:
     """Label, confidence, ratios (two places), counts, words and switches of an array of tags."""
     langs = F.transform(tags, lambda t: plain_lang(t["lang"]))
-    bn, en = (F.size(F.filter(langs, lambda x, k=k: x == k)) for k in ("BN", "EN"))
+    bn, en = F.size(F.filter(langs, lambda x: x == "BN")), F.size(F.filter(langs, lambda x: x == "EN"))
     total = bn + en
     bn_share, en_share = (F.when(total > 0, n / total).otherwise(F.lit(0.0)) for n in (bn, en))
     switches = switch_count(langs)
     mixed = (total >= 4) & (bn >= 2) & (switches >= 1)
+    def verdict_of(label: str, confidence: str) -> Column:
+        return F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"))
+
     verdict = (
-        F.when(F.size(tags) == 0, F.struct(F.lit("NOISE").alias("label"), F.lit("NONE").alias("confidence")))
-        .when((en_share >= 0.9) & (bn <= 1), F.struct(F.lit("EN_ONLY"), F.lit("NONE")))
-        .when(mixed & (en >= 2) & en_share.between(0.1, 0.7), F.struct(F.lit("CS"), F.lit("HIGH")))
-        .when(mixed & (en >= 1) & en_share.between(0.05, 0.8), F.struct(F.lit("CS"), F.lit("MEDIUM")))
-        .when((bn >= 2) & (en >= 1), F.struct(F.lit("BN_ONLY"), F.lit("LOW")))
-        .when(bn_share >= 0.95, F.struct(F.lit("BN_ONLY"), F.lit("NONE")))
-        .when(en_share >= 0.6, F.struct(F.lit("EN_ONLY"), F.lit("NONE")))
-        .otherwise(F.struct(F.lit("BN_ONLY"), F.lit("NONE")))
+        F.when(F.size(tags) == 0, verdict_of("NOISE", "NONE"))
+        .when((en_share >= 0.9) & (bn <= 1), verdict_of("EN_ONLY", "NONE"))
+        .when(mixed & (en >= 2) & en_share.between(0.1, 0.7), verdict_of("CS", "HIGH"))
+        .when(mixed & (en >= 1) & en_share.between(0.05, 0.8), verdict_of("CS", "MEDIUM"))
+        .when((bn >= 2) & (en >= 1), verdict_of("BN_ONLY", "LOW"))
+        .when(bn_share >= 0.95, verdict_of("BN_ONLY", "NONE"))
+        .when(en_share >= 0.6, verdict_of("EN_ONLY", "NONE"))
+        .otherwise(verdict_of("BN_ONLY", "NONE"))
     )
     of = lambda k: F.transform(F.filter(tags, lambda t: k(t["lang"])), lambda t: t["word"])
     borrowed = of(lambda lang: lang == "EN_BORROWED")

@@ -86,10 +86,8 @@ def strip_punctuation(c: str | Column) -> Column:
 
 
 def cap_words(c: str | Column, run: int = 2) -> Column:
-    """At most ``run`` equal words in a row: a word stays unless it equals all of the ``run`` before it."""
-    w = words(c)
-    kept = F.filter(w, lambda x, i: (i < run) | ~F.forall(F.slice(w, F.greatest(i - run + 1, F.lit(1)), F.lit(run)), lambda y: y == x))
-    return F.array_join(kept, " ")
+    """At most ``run`` equal words in a row; white space squeezed."""
+    return F.regexp_replace(squeeze(empty_if_null(c)), r"(?<!\S)(\S+)(?: \1){%d,}(?!\S)" % run, " ".join(["$1"] * run))
 
 
 def normalize_transcript(c: str | Column, collapse: bool = True, unicode: bool = True) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Scripts of the tagger on these Latin-script tables: words with an accented letter are native, plain ones English.
 NATIVE, ENGLISH_WORD, WORD = r"[À-ɏ]", r"^[A-Za-z]{2,}$", r"[A-Za-zÀ-ɏ]+"
+LOWER_WORD = r"[a-zà-ɏ]+"
 #: Words of a turn that pairs keep, so that the SQL's alphabet is enough.
 PAIR_WORDS = 40
 
@@ -40,5 +41,5 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(LOWER_WORD), F.lit(0))
     return table(spark, sf_dir, "benchmark").select(F.explode(words).alias("token")).distinct()
