@@ -33,6 +33,11 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def _slot(x: int, y: int, d: int, n: int) -> int:
+    """Slot of a key with hashes x and y under displacement d: another one of all slots for each d."""
+    return ((x ^ d * 0x9E3779B1) * (y | 1) >> 13 & 0xFFFFFFFF) % n
+
+
 class PerfectHash:
     """Minimal perfect hash by displacement: n keys fill exactly n slots; a lookup is one hash and one comparison."""
 
@@ -65,14 +70,14 @@ class PerfectHash:
                 taken[slot], self.keys[slot] = 1, group[0][2]
                 continue
             for d in range(1, 1 << 16):
-                slots = {(x + d * y + d * d) % self.n for x, y, _ in group}
+                slots = {_slot(x, y, d, self.n) for x, y, _ in group}
                 if len(slots) == len(group) and not any(taken[s] for s in slots):
                     break
             else:
                 return False
             self.shift[b] = d
             for x, y, key in group:
-                slot = (x + d * y + d * d) % self.n
+                slot = _slot(x, y, d, self.n)
                 taken[slot], self.keys[slot] = 1, key
         self.shifts = self.shift.tolist()
         return True
@@ -81,7 +86,7 @@ class PerfectHash:
         """The slot of a key, -1 for bytes that aren't a key."""
         h = xxhash.xxh3_128_intdigest(key, self.seed)
         d = self.shifts[h % self.buckets]
-        at = -d - 1 if d < 0 else ((h >> 32 & 0xFFFFFFFF) + d * (h >> 64 & 0xFFFFFFFF) + d * d) % self.n
+        at = -d - 1 if d < 0 else _slot(h >> 32 & 0xFFFFFFFF, h >> 64 & 0xFFFFFFFF, d, self.n)
         return at if self.keys[at] == key else -1
 
 
