@@ -208,7 +208,7 @@ def is_english_word(w: Column) -> Column:
 
 def percent(c: Column, none: str = "—") -> Column:
     """A share as a percentage with one place, a dash for null."""
-    return F.coalesce(F.format_string("%.1f", 100 * c), F.lit(none))
+    return F.when(c.isNull(), F.lit(none)).otherwise(F.format_string("%.1f", 100 * c))
 
 
 def latex(c: str | Column) -> Column:
