@@ -160,3 +160,30 @@ def training_rows(rows: DataFrame, files: DataFrame, text: str = "transcript") -
 
 def is_augmented(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/")).rlike("augment|synthetic")
+
+
+def first_k(rows: DataFrame, group: str, order: list[Column], k: int = 4) -> DataFrame:
+    """The first k rows of each group in the given order."""
+    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
+
+
+def with_target_text(rows: DataFrame, text: str = "transcript", rewrite=None) -> DataFrame:
+    """rows with ``target``: the text, or what ``rewrite`` (a function of a column) makes of it."""
+    return rows.withColumn("target", rewrite(F.col(text)) if rewrite else F.col(text))
+
+
+def synthesised(rows: DataFrame, speak, seconds) -> DataFrame:
+    """rows with audio_path and duration_sec from the caller's functions of the text; rows that failed are left out."""
+    made = rows.withColumn("audio_path", speak(F.col("transcript")))
+    return made.where(F.coalesce("audio_path", F.lit("")) != "").withColumn("duration_sec", seconds(F.col("audio_path")))
+
+
+def resolved_audio(rows: DataFrame, files: DataFrame, path: str = "audio_path") -> DataFrame:
+    """rows whose path, or whose file name where the path is stale, is in a listing with audio_path; others are left out."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    known = files.select(F.col("audio_path").alias("_found"), name(F.col("audio_path")).alias("_name"))
+    exact = known.select(F.col("_found").alias("_exact"))
+    by_name = known.groupBy("_name").agg(F.min("_found").alias("_by_name"))
+    clean = canonical_path(F.col(path))
+    both = rows.withColumn("_path", clean).join(exact, F.col("_path") == F.col("_exact"), "left").withColumn("_name", name(F.col("_path"))).join(by_name, "_name", "left")
+    return both.withColumn(path, F.coalesce("_exact", "_by_name")).where(F.col(path).isNotNull()).drop("_path", "_exact", "_name", "_by_name")

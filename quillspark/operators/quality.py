@@ -207,3 +207,13 @@ def quality_overlap(clips: DataFrame, text: str = "transcript") -> DataFrame:
     """Counts of texts with U+FFFD, with foreign letters, with both, excluded and kept."""
     damaged, foreign = F.col(text).contains("�"), F.col(text).rlike(r"[\p{L}&&[^\x00-\x7F\x{0980}-\x{09FF}]]")
     return clips.agg(*(F.count_if(x).alias(k) for k, x in {"damaged": damaged, "foreign": foreign, "both": damaged & foreign, "excluded": damaged | foreign, "kept": ~(damaged | foreign)}.items()))
+
+
+def clean_in_steps(clips: DataFrame, noise: list[str], *steps, text: str = "transcript") -> DataFrame:
+    """clips whose text goes through the caller's steps (functions of the text and the array of noise tokens, such as a
+    masked model or a dictionary), and whose noise tokens that remain are deleted at last."""
+    words = F.array(*(F.lit(x) for x in noise)) if noise else F.array().cast("array<string>")
+    value = F.col(text)
+    for step in steps:
+        value = step(value, words)
+    return clips.withColumn(text, T.delete_tokens(value, words))
