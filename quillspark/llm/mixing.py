@@ -29,22 +29,38 @@ class Target:
 
 
 def exponent(tokens: list[int], target: Target, budget: int) -> int:
-    """The least exponent, in units of 1/STEPS, whose weights meet the target; HIGHEST * STEPS if none does."""
+    """The least exponent, in units of 1/STEPS, whose weights meet the target.
+
+    Up to the exponent 1 a larger one lowers the largest repetition, and everywhere it lowers the entropy, so each is
+    bisected on its own. If the entropy asks for an exponent at which a source would be repeated too often, the limit of
+    repetition decides; HIGHEST * STEPS or STEPS if nothing meets them.
+    """
     total = sum(tokens)
     shares = [t / total for t in tokens if t]
 
-    def meets(k: int) -> bool:
+    def weights(k: int) -> list[float]:
         powers = [s ** (k / STEPS) for s in shares]
         z = sum(powers)
-        entropy = -sum(p / z * math.log(p / z) for p in powers)
-        fits = target.entropy is None or entropy <= target.entropy * math.log(len(shares)) + 1e-12
-        return fits and (target.repetition is None or max(p / z / s for p, s in zip(powers, shares, strict=True)) * budget / total <= target.repetition + 1e-12)
-
-    low, high = 0, HIGHEST * STEPS
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if meets(mid) else (mid + 1, high)
-    return low
+        return [p / z for p in powers]
+
+    def low_entropy(k: int) -> bool:
+        return -sum(w * math.log(w) for w in weights(k)) <= target.entropy * math.log(len(shares)) + 1e-12
+
+    def few_repeats(k: int) -> bool:
+        return max(w / s for w, s in zip(weights(k), shares, strict=True)) * budget / total <= target.repetition + 1e-12
+
+    def least(meets, high: int) -> int:
+        low = 0
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if meets(mid) else (mid + 1, high)
+        return low
+
+    by_entropy = 0 if target.entropy is None else least(low_entropy, HIGHEST * STEPS)
+    if target.repetition is None:
+        return by_entropy
+    by_repetition = least(few_repeats, STEPS)
+    return by_entropy if by_entropy > by_repetition and few_repeats(by_entropy) else by_repetition
 
 
 def _hash(*parts: Column | str | int) -> Column:
