@@ -188,7 +188,7 @@ def truncated(c: str | Column) -> Column:
 
 def repeated_ngram(array: Column, n: int = 3, at_least: int = 6) -> Column:
     """Whether a run of n items occurs twice in an array of at_least items or more."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(array) - n + 1, F.lit(1))), lambda i: F.slice(array, i, F.lit(n)))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(array) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(array, i, F.lit(n)), "\u0001"))
     return (F.size(array) >= max(at_least, n + 1)) & (F.size(F.array_distinct(runs)) < F.size(runs))
 
 
