@@ -13,6 +13,8 @@ from ..functions import codemix, text as T
 
 #: Symbols for the different words of a pair: code points from here on, in one plane without surrogates.
 FIRST_SYMBOL, SYMBOLS = 0x10000, 60_000
+#: Code points from FIRST_SYMBOL to the last.
+ALL_SYMBOLS = 0x110000 - FIRST_SYMBOL
 
 
 def _alphabet() -> Column:
@@ -21,10 +23,14 @@ def _alphabet() -> Column:
 
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Unit-cost edit distance of two arrays of words, by the built-in distance of strings with a symbol for each
-    different word. Null for pairs with more than SYMBOLS different words."""
+    different word. Pairs with more than SYMBOLS different words take symbols by number; more than ALL_SYMBOLS fail."""
     vocabulary = F.array_distinct(F.concat(ref, hyp))
-    symbols = lambda words: F.array_join(F.transform(words, lambda w: F.substring(_alphabet(), F.array_position(vocabulary, w).cast("int"), F.lit(1))), "")
-    return F.when(F.size(vocabulary) <= SYMBOLS, F.levenshtein(symbols(ref), symbols(hyp)))
+    place = lambda w: F.array_position(vocabulary, w).cast("int")
+    near = lambda w: F.substring(_alphabet(), place(w), F.lit(1))
+    far = lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + (FIRST_SYMBOL - 1)), 8, "0")), "UTF-32")
+    distance = lambda symbol: F.levenshtein(*(F.array_join(F.transform(x, symbol), "") for x in (ref, hyp)))
+    size = F.size(vocabulary)
+    return F.when(size <= SYMBOLS, distance(near)).when(size <= ALL_SYMBOLS, distance(far)).when(size > ALL_SYMBOLS, F.raise_error(F.lit("too many different words for word_distance")).cast("int"))
 
 
 def pair_statistics(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis", native=T.is_bengali_word, english=T.is_english_word) -> DataFrame:

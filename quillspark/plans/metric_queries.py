@@ -22,28 +22,28 @@ s AS (SELECT conv_id, turn, grp, r, h, rs, hs, len(r) AS n_words, levenshtein(re
 """
 
 
-def _statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _statistics(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
     """Pairs with word edits only: what most queries need."""
     r, h = T.words("reference"), T.words("hypothesis")
-    return D.pairs(spark, sf_dir).withColumns({"n_words": F.size(r), "word_edits": metrics.word_distance(r, h)})
+    return D.pairs(spark, sf_dir, words).withColumns({"n_words": F.size(r), "word_edits": metrics.word_distance(r, h)})
 
 
 @query(PAIRS + "SELECT grp, count(*) AS n, round(sum(word_edits) / sum(n_words), 4) AS wer FROM s GROUP BY grp")
-def corpus_wer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus_wer_by_group(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
     """Word error rate of all pairs of a group, as edits over words."""
-    return _statistics(spark, sf_dir).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), metrics.rate("word_edits", "n_words").alias("wer"))
+    return _statistics(spark, sf_dir, words).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), metrics.rate("word_edits", "n_words").alias("wer"))
 
 
 @query(PAIRS + "SELECT conv_id, turn, n_words, word_edits, round(word_edits / n_words, 4) AS wer FROM s WHERE n_words > 0 ORDER BY wer DESC, conv_id, turn LIMIT 25")
-def worst_pairs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _statistics(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
+def worst_pairs_topk(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    rows = _statistics(spark, sf_dir, words).withColumn("key", F.struct("conv_id", "turn"))
     return metrics.worst_pairs(rows, "key").select("conv_id", "turn", F.col("n_words").cast("long").alias("n_words"), F.col("word_edits").cast("long").alias("word_edits"), "wer")
 
 
 @query(PAIRS + """SELECT grp, round(avg(word_edits / n_words) FILTER (conv_id % 3 = 0), 4) AS macro_cs, round(avg(word_edits / n_words) FILTER (conv_id % 3 <> 0), 4) AS macro_other,
 round(avg(word_edits / n_words) FILTER (conv_id % 3 = 0) - avg(word_edits / n_words) FILTER (conv_id % 3 <> 0), 4) AS gap FROM s GROUP BY grp""")
-def wer_subset_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.macro_gap(_statistics(spark, sf_dir).withColumn("flag", F.col("conv_id") % 3 == 0), "flag", "grp")
+def wer_subset_gap(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    return stats.macro_gap(_statistics(spark, sf_dir, words).withColumn("flag", F.col("conv_id") % 3 == 0), "flag", "grp")
 
 
 #: Per-language parts: native words hold an accented letter, English ones are two plain letters or more after stripping.
@@ -54,22 +54,22 @@ PARTS = PAIRS + r""", w AS (SELECT *, list_filter(r, lambda x: regexp_matches(x,
  f AS (SELECT *, m_bn + m_en >= 4 AND m_bn >= 2 AND m_en >= 1 AND m_en / (m_bn + m_en) BETWEEN 0.05 AND 0.8 AS detected FROM d) """
 
 
-def _bundle_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bundle_rows(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
     native = lambda w: w.rlike(D.NATIVE)
-    return metrics.pair_statistics(D.pairs(spark, sf_dir), native=native).withColumn("is_code_switched", F.col("conv_id") % 3 == 0)
+    return metrics.pair_statistics(D.pairs(spark, sf_dir, words), native=native).withColumn("is_code_switched", F.col("conv_id") % 3 == 0)
 
 
 @query(PARTS + """SELECT grp, count(*) FILTER (flag AND detected) AS tp, count(*) FILTER (NOT flag AND detected) AS fp, count(*) FILTER (flag AND NOT detected) AS fn,
 count(*) FILTER (NOT flag AND NOT detected) AS tn, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 4) AS cs_precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 4) AS cs_recall,
 round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 4) AS cs_f1 FROM f GROUP BY grp""")
-def confusion_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _bundle_rows(spark, sf_dir)
+def confusion_f1(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    rows = _bundle_rows(spark, sf_dir, words)
     return rows.groupBy("grp").agg(*(c.alias(k) for k, c in metrics.detection(F.col("is_code_switched"), F.col("detected")).items()))
 
 
 @query(PARTS + """SELECT grp, CAST(sum(n_en) AS BIGINT) AS en_words, CAST(sum(en_kept) AS BIGINT) AS kept, round(sum(en_kept) / nullif(sum(n_en), 0), 4) AS survival FROM f WHERE flag GROUP BY grp""")
-def english_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _bundle_rows(spark, sf_dir).where("is_code_switched")
+def english_survival(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    rows = _bundle_rows(spark, sf_dir, words).where("is_code_switched")
     return rows.groupBy("grp").agg(F.sum("n_en").alias("en_words"), F.sum("en_kept").cast("long").alias("kept"), F.round(F.try_divide(F.sum("en_kept"), F.sum("n_en")), 4).alias("survival"))
 
 
@@ -80,8 +80,8 @@ def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + """, g AS (SELECT grp, round(sum(word_edits) / sum(n_words), 4) AS wer, count(*) AS n FROM s GROUP BY grp)
 SELECT grp, 'wer' AS metric, wer AS value FROM g UNION ALL SELECT grp, 'n', CAST(n AS DOUBLE) FROM g""")
-def metric_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus_wer_by_group(spark, sf_dir).withColumn("n", F.col("n").cast("double"))
+def metric_long(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    rows = corpus_wer_by_group(spark, sf_dir, words).withColumn("n", F.col("n").cast("double"))
     return report.long(rows, "grp", ["wer", "n"])
 
 
@@ -101,8 +101,8 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(PARTS + """SELECT x AS word, count(*) AS n FROM (SELECT unnest(list_filter(rn, lambda x: NOT list_contains(hn, x))) AS x FROM f) GROUP BY x ORDER BY n DESC, word LIMIT 20""")
-def top_deleted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.deleted_words(D.pairs(spark, sf_dir))
+def top_deleted_words(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    return metrics.deleted_words(D.pairs(spark, sf_dir, words))
 
 
 @query()
@@ -117,16 +117,16 @@ x AS (SELECT *, (u >= 0.367879441171)::INT + (u >= 0.735758882343)::INT + (u >=
   + (u >= 0.999405815182)::INT + (u >= 0.999916758851)::INT + (u >= 0.999989750804)::INT AS w FROM u) """
 
 
-def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _statistics(spark, sf_dir).withColumn("key", F.col("conv_id") * 100 + F.col("turn"))
+def _keyed(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
+    return _statistics(spark, sf_dir, words).withColumn("key", F.col("conv_id") * 100 + F.col("turn"))
 
 
 @query(WEIGHTS + """, t AS (SELECT grp, b, sum(w * word_edits) / sum(w * n_words) AS rate FROM x WHERE w > 0 GROUP BY grp, b),
 l AS (SELECT grp, list_sort(list(rate)) AS rates FROM t GROUP BY grp)
 SELECT grp, (SELECT round(sum(word_edits) / sum(n_words), 4) FROM s WHERE s.grp = l.grp) AS rate, round(rates[CAST(floor(len(rates) * 0.025) AS INT) + 1], 4) AS low,
 round(rates[least(CAST(floor(len(rates) * 0.975) AS INT) + 1, len(rates))], 4) AS high FROM l""")
-def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_interval(_keyed(spark, sf_dir), 50, "key", "word_edits", "n_words", ["grp"])
+def bootstrap_ci(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    return stats.bootstrap_interval(_keyed(spark, sf_dir, words), 50, "key", "word_edits", "n_words", ["grp"])
 
 
 @query(WEIGHTS + """, t AS (SELECT b, sum(w * (word_edits - (n_words - 1))) / sum(w * n_words) AS d FROM x WHERE w > 0 GROUP BY b),
@@ -134,8 +134,8 @@ c AS (SELECT count(*) AS b, count(*) FILTER (d <= 0) AS low, count(*) FILTER (d
 a AS (SELECT sum(word_edits) / sum(n_words) AS a, sum(n_words - 1) / sum(n_words) AS bb FROM s)
 SELECT round(a, 4) AS rate_a, round(bb, 4) AS rate_b, round(a - bb, 4) AS delta, round(100 * (a - bb) / a, 2) AS reduction_pct, round(low / b, 4) AS p_one,
 round(least(1.0, 2 * least((low + 1) / (b + 1), (high + 1) / (b + 1))), 4) AS p_two, low / b < 0.05 AS significant_05, low / b < 0.01 AS significant_01 FROM a, c""")
-def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _keyed(spark, sf_dir).withColumn("other_edits", F.col("n_words") - 1)
+def paired_bootstrap(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    rows = _keyed(spark, sf_dir, words).withColumn("other_edits", F.col("n_words") - 1)
     return stats.paired_test(rows, 50, "key", "word_edits", "other_edits", "n_words")
 
 
@@ -219,6 +219,22 @@ def json_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(PAIRS + """, g AS (SELECT grp, round(sum(word_edits) / sum(n_words), 4) AS wer FROM s GROUP BY grp)
 SELECT CAST(grp AS VARCHAR) AS model, CAST(grp AS VARCHAR) || ',' || printf('%.1f', 100 * wer) AS csv FROM g""")
-def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpus_wer_by_group(spark, sf_dir).select(F.col("grp").cast("string").alias("model"), "wer")
+def comparison_table(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+    rows = corpus_wer_by_group(spark, sf_dir, words).select(F.col("grp").cast("string").alias("model"), "wer")
     return report.comparison(rows, "model", ["wer"]).select("model", "csv")
+
+
+def _whole(f, **more) -> None:
+    """Register f over whole turns as NAME_whole; f itself is held to the words of its SQL."""
+
+    def g(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, words=None, **more)
+
+    g.__name__ = f"{f.__name__}_whole"
+    query()(g)
+
+
+for _f in (corpus_wer_by_group, worst_pairs_topk, wer_subset_gap, confusion_f1, english_survival, metric_long, top_deleted_words, comparison_table):
+    _whole(_f)
+for _f in (bootstrap_ci, paired_bootstrap):
+    _whole(_f)
