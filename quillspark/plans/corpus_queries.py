@@ -174,9 +174,10 @@ def new_lexicon_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nearest_dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lexicon words and the most similar longer ones."""
+    """All tokens outside the lexicon and the most similar word of the whole lexicon."""
     words = D.lexicon(spark, sf_dir)
-    return quality.nearest_words(words.where(F.length("token") == 5), words.where(F.length("token").between(6, 7)).withColumnRenamed("token", "word"))
+    tokens = _tokens(spark, sf_dir).select("token").distinct().join(words, "token", "left_anti")
+    return quality.nearest_words(tokens, words.withColumnRenamed("token", "word"))
 
 
 @query("""WITH u AS (SELECT o_custkey % 5000 AS k, o_orderkey, 0 AS priority, 'a' AS origin FROM orders UNION ALL SELECT l_orderkey % 5000, l_orderkey * 10 + l_linenumber, 1, 'b' FROM lineitem),
@@ -353,6 +354,12 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.components(rows, "l_orderkey", "l_partkey")
 
 
+@query()
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components over all of lineitem; components itself is held to the rows of its SQL."""
+    return audit.components(D.table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @query("SELECT c_mktsegment, sha256(string_agg(CAST(c_custkey AS VARCHAR), chr(10) ORDER BY CAST(c_custkey AS VARCHAR))) AS checksum, count(*) AS n FROM customer GROUP BY c_mktsegment")
 def split_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.checksum(D.table(spark, sf_dir, "customer"), "c_custkey", "c_mktsegment")

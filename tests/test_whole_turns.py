@@ -25,3 +25,15 @@ def test_distance_beyond_the_alphabet(spark, monkeypatch):
     monkeypatch.setattr(metrics, "SYMBOLS", 2)
     row = spark.createDataFrame([("a b c d", "a x c")], "r string, h string")
     assert row.select(metrics.word_distance(T.words("r"), T.words("h")).alias("d")).first().d == 2
+
+
+def test_components_of_all_rows(spark, tmp_path):
+    spark.createDataFrame([(10, 7), (11, 7), (11, 3), (20, 3), (30, 14)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.component for r in corpus_queries.components_whole(spark, str(tmp_path)).collect()}
+    assert got == {10: 10, 11: 10, 20: 10, 30: 30}
+
+
+def test_nearest_words_of_any_length(spark, tmp_path):
+    spark.createDataFrame([(1, "dictionaries wonderfull cat", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "dictionaries wonderful dog")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.token, r.word) for r in corpus_queries.nearest_dictionary_words(spark, str(tmp_path)).collect()] == [("wonderfull", "wonderful")]
