@@ -131,10 +131,15 @@ def error_breakdown(pairs: DataFrame, *by: str, ref: str = "reference", hyp: str
     return rows.groupBy(*by).agg(F.sum("n").alias("n_words"), *(c.alias(k) for k, c in sums.items()), *(F.round(F.try_divide(c, F.sum("n")), 4).alias(f"{k}_rate") for k, c in sums.items()))
 
 
+def counted_substitutions(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
+    """All substituted pairs and how often they occur."""
+    rows = pairs.where(~T.blank(ref)).select(F.explode(alignment(T.words(ref), T.words(hyp))["pairs"]).alias("p"))
+    return rows.groupBy(F.col("p.ref").alias("ref_word"), F.col("p.hyp").alias("hyp_word")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def substitutions(pairs: DataFrame, n: int = 20, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
     """The n most frequent substituted pairs, of equals in alphabetical order."""
-    rows = pairs.where(~T.blank(ref)).select(F.explode(alignment(T.words(ref), T.words(hyp))["pairs"]).alias("p"))
-    return rows.groupBy(F.col("p.ref").alias("ref_word"), F.col("p.hyp").alias("hyp_word")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "ref_word", "hyp_word").limit(n)
+    return counted_substitutions(pairs, ref, hyp).orderBy(F.desc("n"), "ref_word", "hyp_word").limit(n)
 
 
 def spelling_variants(found: DataFrame, most: float = 0.34) -> DataFrame:

@@ -97,7 +97,7 @@ def top_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.spelling_variants(metrics.substitutions(D.pairs(spark, sf_dir), 2000))
+    return metrics.spelling_variants(metrics.counted_substitutions(D.pairs(spark, sf_dir)))
 
 
 @query(PARTS + """SELECT x AS word, count(*) AS n FROM (SELECT unnest(list_filter(rn, lambda x: NOT list_contains(hn, x))) AS x FROM f) GROUP BY x ORDER BY n DESC, word LIMIT 20""")

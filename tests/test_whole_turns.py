@@ -27,6 +27,13 @@ def test_distance_beyond_the_alphabet(spark, monkeypatch):
     assert row.select(metrics.word_distance(T.words("r"), T.words("h")).alias("d")).first().d == 2
 
 
+def test_rare_spelling_variants(spark, tmp_path):
+    """More than 2,000 frequent substitutions before the only spelling variant."""
+    rows = [(c, t, "user" if t == 0 else "assistant", f"{chr(97 + t) * 3}{c // 2}" if c < 4200 else ("colour" if t == 0 else "color")) for c in range(4201) for t in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert "colour" in {r.ref_word for r in metric_queries.spelling_variants(spark, str(tmp_path)).collect()}
+
+
 def test_components_of_all_rows(spark, tmp_path):
     spark.createDataFrame([(10, 7), (11, 7), (11, 3), (20, 3), (30, 14)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_orderkey: r.component for r in corpus_queries.components_whole(spark, str(tmp_path)).collect()}
