@@ -110,6 +110,9 @@ def corpus_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bundle_rows(spark, sf_dir).groupBy("grp").agg(metrics.rate("char_edits", "n_chars").alias("cer"), F.sum("n_chars").alias("n_chars"))
 
 
+#: Resamples of the reference (fine_tuning/config.py); the SQL draws 50, and only queries compared with it do.
+RESAMPLES = 10_000
+
 #: Poisson weights from md5, as hashed_poisson() makes them.
 WEIGHTS = PAIRS + """, k AS (SELECT *, conv_id * 100 + turn AS key, unnest(range(0, 50)) AS b FROM s),
 u AS (SELECT *, CAST('0x' || substr(md5('42|' || b || '|' || key), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM k),
@@ -125,8 +128,8 @@ def _keyed(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFr
 l AS (SELECT grp, list_sort(list(rate)) AS rates FROM t GROUP BY grp)
 SELECT grp, (SELECT round(sum(word_edits) / sum(n_words), 4) FROM s WHERE s.grp = l.grp) AS rate, round(rates[CAST(floor(len(rates) * 0.025) AS INT) + 1], 4) AS low,
 round(rates[least(CAST(floor(len(rates) * 0.975) AS INT) + 1, len(rates))], 4) AS high FROM l""")
-def bootstrap_ci(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
-    return stats.bootstrap_interval(_keyed(spark, sf_dir, words), 50, "key", "word_edits", "n_words", ["grp"])
+def bootstrap_ci(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS, b: int = 50) -> DataFrame:
+    return stats.bootstrap_interval(_keyed(spark, sf_dir, words), b, "key", "word_edits", "n_words", ["grp"])
 
 
 @query(WEIGHTS + """, t AS (SELECT b, sum(w * (word_edits - (n_words - 1))) / sum(w * n_words) AS d FROM x WHERE w > 0 GROUP BY b),
@@ -134,16 +137,16 @@ c AS (SELECT count(*) AS b, count(*) FILTER (d <= 0) AS low, count(*) FILTER (d
 a AS (SELECT sum(word_edits) / sum(n_words) AS a, sum(n_words - 1) / sum(n_words) AS bb FROM s)
 SELECT round(a, 4) AS rate_a, round(bb, 4) AS rate_b, round(a - bb, 4) AS delta, round(100 * (a - bb) / a, 2) AS reduction_pct, round(low / b, 4) AS p_one,
 round(least(1.0, 2 * least((low + 1) / (b + 1), (high + 1) / (b + 1))), 4) AS p_two, low / b < 0.05 AS significant_05, low / b < 0.01 AS significant_01 FROM a, c""")
-def paired_bootstrap(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS) -> DataFrame:
+def paired_bootstrap(spark: SparkSession, sf_dir: str, words: int | None = D.PAIR_WORDS, b: int = 50) -> DataFrame:
     rows = _keyed(spark, sf_dir, words).withColumn("other_edits", F.col("n_words") - 1)
-    return stats.paired_test(rows, 50, "key", "word_edits", "other_edits", "n_words")
+    return stats.paired_test(rows, b, "key", "word_edits", "other_edits", "n_words")
 
 
 @query()
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resampled rates over whole conversations."""
     rows = _statistics(spark, sf_dir).groupBy("conv_id").agg(F.sum("word_edits").alias("edits"), F.sum("n_words").alias("words"))
-    return stats.cluster_resamples(rows.orderBy("conv_id"), 200, ["edits", "words"]).withColumn("rate", F.round(F.col("edits") / F.col("words"), 6))
+    return stats.cluster_resamples(rows.orderBy("conv_id"), RESAMPLES, ["edits", "words"]).withColumn("rate", F.round(F.col("edits") / F.col("words"), 6))
 
 
 @query("""SELECT l_returnflag, round(coalesce((avg(l_discount) - avg(l_tax)) / nullif(sqrt((var_samp(l_discount) + var_samp(l_tax)) / 2), 0), 0.0), 4) AS cohens_d FROM lineitem GROUP BY l_returnflag""")
@@ -237,4 +240,4 @@ def _whole(f, **more) -> None:
 for _f in (corpus_wer_by_group, worst_pairs_topk, wer_subset_gap, confusion_f1, english_survival, metric_long, top_deleted_words, comparison_table):
     _whole(_f)
 for _f in (bootstrap_ci, paired_bootstrap):
-    _whole(_f)
+    _whole(_f, b=RESAMPLES)

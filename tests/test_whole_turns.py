@@ -34,6 +34,13 @@ def test_rare_spelling_variants(spark, tmp_path):
     assert "colour" in {r.ref_word for r in metric_queries.spelling_variants(spark, str(tmp_path)).collect()}
 
 
+def test_resamples(spark, tmp_path):
+    sf = conversations(spark, tmp_path)
+    assert metric_queries.cluster_bootstrap(spark, sf).count() == 10_000
+    x = registry.queries()["paired_bootstrap_whole"](spark, sf).first()
+    assert x.p_two < 0.001 and registry.queries()["bootstrap_ci_whole"](spark, sf).count() == 4
+
+
 def test_components_of_all_rows(spark, tmp_path):
     spark.createDataFrame([(10, 7), (11, 7), (11, 3), (20, 3), (30, 14)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_orderkey: r.component for r in corpus_queries.components_whole(spark, str(tmp_path)).collect()}
