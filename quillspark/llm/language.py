@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,25 +21,32 @@ EDGE = 1  # stands for any run of characters that are not letters
 
 
 class Letters:
-    """Code point to lower-case letter, or to EDGE."""
+    """For each code point its lower-case letter, or itself if it is a mark inside words, or EDGE; and which are letters.
+
+    Letters are the Unicode categories L*, marks M*, in all planes; unassigned planes have neither.
+    """
 
     def __init__(self):
-        table = np.full(0x110000, EDGE, np.int64)
-        for c in range(0x10000):
+        self.table = np.full(0x110000, EDGE, np.int64)
+        self.letter = np.zeros(0x110000, bool)
+        for c in (*range(0x40000), *range(0xE0000, 0xE0200)):
             x = chr(c)
-            if x.isalpha():
+            kind = unicodedata.category(x)[0]
+            if kind == "L":
                 low = x.lower()
-                table[c] = ord(low) if len(low) == 1 else c
-        table[0x10000:] = np.arange(0x10000, 0x110000)  # beyond the basic plane all count as letters but symbols
-        table[0x1F000:0x20000] = EDGE
-        self.table = table
+                self.table[c] = ord(low) if len(low) == 1 else c
+                self.letter[c] = True
+            elif kind == "M":
+                self.table[c] = c
 
 
 _letters: list[Letters] = []
+_NONE = np.zeros(0, np.int64)
 
 
-def letter_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case letters of all texts, one EDGE for each run of others and one before each text; texts' offsets."""
+def letter_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case letters and marks of all texts, one EDGE for each run of others and one before each text; texts'
+    offsets; whether a text has a letter."""
     if not _letters:
         _letters.append(Letters())
     data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -49,17 +57,18 @@ def letter_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     body = np.ones(len(codes), bool)
     body[at] = False
     codes[body] = _letters[0].table[data]
+    seen = np.append(0, np.cumsum(_letters[0].letter[data]))
     begins = np.zeros(len(codes), bool)
     begins[at] = True
     keep = begins.copy()
     keep[1:] |= (codes[1:] != EDGE) | (codes[:-1] != EDGE)
     places = np.append(0, np.cumsum(keep))
-    return codes[keep], places[np.append(at, len(keep))]
+    return codes[keep], places[np.append(at, len(keep))], seen[bounds[1:]] > seen[bounds[:-1]]
 
 
-def grams(codes: np.ndarray) -> np.ndarray:
-    """n-grams of one text as 64-bit numbers; those that begin with EDGE and are only that are left out."""
-    parts = []
+def grams(codes: np.ndarray, bounds: np.ndarray | None = None) -> np.ndarray:
+    """n-grams of one text, or of several at bounds, as 64-bit numbers, without those that are only EDGE."""
+    parts, last = [], None if bounds is None else np.repeat(bounds[1:], np.diff(bounds))
     for n in SIZES:
         if len(codes) >= n:
             m = len(codes) - n + 1
@@ -67,7 +76,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
             for k in range(1, n):
                 g <<= BITS
                 g |= codes[k : k + m]
-            parts.append(g)
+            parts.append(g if last is None else g[np.arange(n, m + n) <= last[:m]])
     all_grams = np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return all_grams[all_grams != EDGE]
 
@@ -97,8 +106,8 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> D
             for lang in sorted(set(langs)):
                 texts = batch.column(1).filter(pa.array(langs == lang))
                 for a, b in passes(texts):
-                    codes, _ = letter_codes(texts[a:b].to_pylist())
-                    g, n = np.unique(grams(codes), return_counts=True)
+                    codes, bounds, _ = letter_codes(texts[a:b].to_pylist())
+                    g, n = np.unique(grams(codes, bounds), return_counts=True)
                     if lang in held:
                         g, inverse = np.unique(np.concatenate([held[lang][0], g]), return_inverse=True)
                         n = np.bincount(inverse, np.concatenate([held[lang][1], n])).astype(np.int64)
@@ -126,8 +135,9 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
     The distance to a profile is the sum over the text's ranked n-grams of the difference of ranks, PROFILE for one
     that the profile lacks; the nearest language wins, the alphabetically first of equals. score is one less the share
-    of the largest possible distance. 'und' and 0 if the text is null or has no letter, or nothing was learned.
-    Repeated rows stay; extra columns are left out; an empty table gives an empty result.
+    of the largest possible distance. 'und' and 0 if the text is null or empty or has no letter (categories L*), or
+    nothing was learned. A text of any length is one pass of its own. Repeated rows stay, each with its prediction, and
+    so do rows with a null id; extra columns, whatever their names, are left out; an empty table gives an empty result.
     """
     known = {lang: (g[o], o) for lang, g in sorted(profiles.items()) for o in [np.argsort(g, kind="stable")]}
     shared = Shared(docs.sparkSession, known)
@@ -137,10 +147,10 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
         for batch in batches:
             texts = batch.column(1).fill_null("")
             for a, b in passes(texts):
-                codes, bounds = letter_codes(texts[a:b].to_pylist())
+                codes, bounds, lettered = letter_codes(texts[a:b].to_pylist())
                 names, scores = [], []
                 for k in range(b - a):
-                    mine = ranked(codes[bounds[k] : bounds[k + 1]])
+                    mine = ranked(codes[bounds[k] : bounds[k + 1]]) if lettered[k] else _NONE
                     at, best = np.arange(len(mine)), ("und", 0.0)
                     least = None
                     for lang, (sorted_grams, rank) in models.items():
@@ -159,7 +169,11 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. Documents whose crc32(id as text) mod folds is held_out teach nothing."""
+    """doc_id, held_out, lang_pred, score. Documents whose crc32(id as text) mod folds is held_out teach nothing.
+
+    Nulls, empty and long texts, repeats, empty tables and extra columns are as in predict(); a document without a
+    language or text teaches nothing; repeated rows teach as often as they occur.
+    """
     away = crc_mod(id_col, folds) == held_out
     profiles = learn(docs.where(~away), id_col, text_col, lang_col)
     return predict(docs, profiles, id_col, text_col).select("doc_id", (crc_mod("doc_id", folds) == held_out).alias("held_out"), "lang_pred", "score")

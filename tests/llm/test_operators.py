@@ -2,6 +2,7 @@ import collections
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -104,8 +105,62 @@ def test_language(spark, empty):
     assert language.identify_languages(empty).count() == 0
 
 
+def brute_grams(text):
+    """n-grams of 1 to 3 characters over lower-case letters and marks, any run of others as one edge."""
+    flat = ["\x01"]
+    for c in text:
+        kind = unicodedata.category(c)[0]
+        if kind == "L":
+            flat.append(c.lower() if len(c.lower()) == 1 else c)
+        elif kind == "M":
+            flat.append(c)
+        elif flat[-1] != "\x01":
+            flat.append("\x01")
+    n = collections.Counter("".join(flat[i : i + k]) for k in (1, 2, 3) for i in range(len(flat) - k + 1))
+    del n["\x01"]
+    return n
+
+
+def brute_order(counts):
+    def number(g):
+        total = 0
+        for c in g:
+            total = total << 21 | ord(c)
+        return total
+
+    return sorted(counts, key=lambda g: (-counts[g], number(g)))[: language.PROFILE]
+
+
+def test_language_equals_brute_force(clashing, empty, rows):
+    counts = collections.defaultdict(collections.Counter)
+    for i, t, lang, *_ in rows:
+        if lang is not None and t is not None and zlib.crc32(("" if i is None else str(i)).encode()) % 5:
+            counts[lang].update(brute_grams(t))
+    profiles = {lang: {g: k for k, g in enumerate(brute_order(n))} for lang, n in counts.items()}
+    got = language.identify_languages(clashing).collect()
+    assert len(got) == len(rows) and got[0].__fields__ == ["doc_id", "held_out", "lang_pred", "score"]
+    by_id = {r.doc_id: r for r in got}
+    for i, t, *_ in rows:
+        want = ("und", 0.0)
+        if any(unicodedata.category(c)[0] == "L" for c in t or ""):
+            mine = brute_order(brute_grams(t))
+            away = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for k, g in enumerate(mine)) for lang, p in profiles.items()}
+            best = min(sorted(away), key=away.get)
+            want = best, 1 - away[best] / (language.PROFILE * len(mine))
+        assert by_id[i].lang_pred == want[0] and math.isclose(by_id[i].score, want[1], abs_tol=1e-12), (i, want)
+
+
+def test_language_letters(spark):
+    data = [(1, "the cat", "en"), (2, "\U0001D11E", "en"), (3, "\U00010100", "en"), (4, "\U0001F600 12", None), (5, "\u0995\u09BF", None), (6, "\u0301", None), (7, "\U00010400", None)]
+    df = spark.createDataFrame([*data, *[(100 + k, "the dog and the cat", "en") for k in range(9)]], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify_languages(df).collect()}
+    assert [got[i] for i in range(1, 8)] == ["en", "und", "und", "und", "en", "und", "en"]
+    codes, bounds, lettered = language.letter_codes(["\u0995\u09BF\u0996"])
+    assert codes.tolist() == [language.EDGE, 0x995, 0x9BF, 0x996] and lettered.all()  # a vowel sign doesn't end a word
+
+
 def test_rank_order_profile():
-    codes, bounds = language.letter_codes(["aba aba", "", "!!"])
+    codes, bounds, _ = language.letter_codes(["aba aba", "", "!!"])
     counted = collections.Counter(language.grams(codes[bounds[0] : bounds[1]]).tolist())
     assert counted[ord("a")] == 4 and counted[ord("b")] == 2
     assert language.ranked(codes[bounds[0] : bounds[1]])[0] == ord("a") and len(language.ranked(codes[bounds[2] : bounds[3]])) == 0
@@ -169,6 +224,67 @@ def test_toxicity(spark, empty, labels):
     assert toxicity.detect_toxicity(docs, known.limit(0)).count() == len(data)
 
 
+def test_toxicity_any_rows(clashing, rows, labels):
+    got = toxicity.detect_toxicity(clashing, labels).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
+    scores = collections.defaultdict(set)
+    for r in got:
+        scores[r.doc_id].add(r.score)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7)
+    assert all(len(s) == 1 for s in scores.values())
+
+
+def test_toxicity_counts_every_row(spark, monkeypatch):
+    """The same model in one shard or many tasks, and every document in a shard."""
+    rng = np.random.default_rng(1)
+    data = [(i, " ".join(f"w{x}" for x in rng.integers(0, 40, 12)) + (" vile" if i % 8 == 0 else "")) for i in range(700)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(0, 700, 3)], "doc_id long, toxic int")
+    one, two = (toxicity.learn(docs.repartition(n), known) for n in (1, 5))
+    assert (one.chosen == two.chosen).all() and np.allclose(one.weights, two.weights) and np.allclose(one.bias, two.bias)
+    monkeypatch.setattr(toxicity, "SHARD_ROWS", 100)
+    monkeypatch.setattr(toxicity, "FAN_IN", 3)  # 7 shards in two levels
+    monkeypatch.setattr(toxicity, "STEPS", 150)
+    many = toxicity.learn(docs, known)
+    assert many.weights.shape == one.weights.shape and not np.allclose(many.weights, one.weights)
+    vile = np.flatnonzero(many.chosen == toxicity.word_buckets(pa.array(["vile"]))[1][0])
+    assert (many.weights[:, vile] > 1).all()
+
+
+def test_positive_unlabelled_risk():
+    rng = np.random.default_rng(2)
+    marks = lambda n: [np.flatnonzero(rng.random(5) < 0.4).astype(np.uint16).tobytes() for _ in range(n)]
+    p, u, prior = marks(30), marks(80), 0.2
+    w = rng.normal(size=6)
+
+    def logit(m):
+        return sum(w[k] for k in np.frombuffer(m, np.uint16)) + w[-1]
+
+    def brute():
+        plus = np.mean([math.log1p(math.exp(-logit(m))) for m in p])
+        minus = [np.mean([math.log1p(math.exp(logit(m))) for m in x]) for x in (p, u)]
+        return prior * plus, minus[1] - prior * minus[0]
+
+    rows = toxicity.Rows.of(p, 5), toxicity.Rows.of(u, 5)
+    plus, negative, g_plus, g_negative = toxicity.risk(w, *rows, prior)
+    assert np.allclose((plus, negative), brute())
+    for k in range(6):
+        w[k] += 1e-6
+        up = brute()
+        w[k] -= 2e-6
+        down = brute()
+        w[k] += 1e-6
+        assert np.allclose([(a - b) / 2e-6 for a, b in zip(up, down, strict=True)], [g_plus[k], g_negative[k]], atol=1e-7)
+
+
+def test_risk_is_pushed_back_when_negative():
+    """Where all unlabelled documents are positive the corrected risk would fall without end; it doesn't."""
+    marks = [np.array([0], np.uint16).tobytes()] * 200
+    rows = toxicity.Rows.of(marks, 1)
+    w = toxicity.fit(rows, rows, 0.5, [1])[0]
+    assert toxicity.risk(w, rows, rows, 0.5)[1] > -5 * toxicity.SLACK - 0.05 and np.isfinite(w).all()
+
+
 # language model
 
 
