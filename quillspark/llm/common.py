@@ -17,10 +17,13 @@ PASS_BYTES = 3_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one on a local
+    master, as in tests; on a cluster that is an error, since no machine's own folder would do."""
     where = spark.sparkContext.getCheckpointDir()
     if where is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quill-"))
         where = spark.sparkContext.getCheckpointDir()
     return where
@@ -31,7 +34,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quill_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables of materialise() that nothing will read again; others are left alone."""
+    for df in tables:
+        path = getattr(df, "quill_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

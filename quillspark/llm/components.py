@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def connected_components(links: DataFrame, name: str = "components") -> DataFram
         if now == before or not now[0]:
             break
         before = now
-        edges = materialise(_stars(edges), name)
+        old, edges = edges, materialise(_stars(edges), name)
+        release(old)
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return roots.unionByName(edges.select(F.col("u").alias("node"), F.col("v").alias("component")))

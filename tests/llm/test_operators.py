@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -352,6 +353,32 @@ def test_near(clashing, empty, rows):
     assert kept.columns == clashing.columns and kept.count() == sum(r.kept for r in got)
 
 
+def test_near_repeated_ids(spark):
+    """One id with two texts joins the near copies of both."""
+    rng = np.random.default_rng(9)
+    a, b = (" ".join(f"{c}{x}" for x in rng.integers(0, 999, 200)) for c in "ab")
+    data = [(5, a), (5, b), (6, b + " more"), (7, a + " else"), (8, "other words"), (5, None), (9, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True)] * 3 + [(6, 5, False), (7, 5, False), (8, 8, True), (9, 9, True)]
+
+
+def test_near_large_buckets(spark, monkeypatch):
+    """Many alike and many chained texts in large buckets, split by further bands, as by brute force."""
+    monkeypatch.setattr(near_dedup, "LARGE", 8)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    data, w = [], list(base)
+    for i in range(120):
+        if i % 3 == 0:
+            w = list(w)
+            w[rng.randrange(150)] = f"x{i}"
+        data.append((i, " ".join(w if i % 2 else [*base[: 100 + i % 40], f"tail{i}"])))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    sets = [shingles(t) for _, t in data]
+    root = union_find([(a, b) for b in range(120) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    assert got == {i: root(i) for i in range(120)}
+
+
 def test_sketch():
     rng = np.random.default_rng(3)
     a, b = (rng.integers(0, 1 << 62, 800).astype(np.uint64) for _ in range(2))
