@@ -307,26 +307,77 @@ def test_lm(clashing, empty, rows):
     assert lm_score.score_documents(empty, PATH).count() == 0
 
 
-def test_attention_gradient_and_windows():
+def test_attention_gradient_and_windows(monkeypatch):
+    monkeypatch.setattr(attention, "HEAD", 4)
+    monkeypatch.setattr(attention, "TIERS", (3, 5))
+    monkeypatch.setattr(attention, "OUTPUTS", 7)
     vocabulary = attention.Vocabulary.of(np.arange(40, 0, -1), 39)
     ids, sizes = np.arange(37) % 11, np.array([20, 0, 17])
-    windows, targets, weights, text = attention.cut(vocabulary, ids, sizes)
+    slices, valid, text, _ = attention.windows(39, ids, sizes)
+    weights = np.arange(attention.SCORED) < valid[:, None]
+    targets = slices[:, attention.LEAD :]
     assert weights.sum() == 37 + 3 and sorted(targets[weights].tolist()) == sorted([*ids.tolist(), 39, 39, 39])
-    single = attention.Attention.new()
+    single = attention.Attention.new(vocabulary)
     model = attention.Attention({k: x.astype(np.float64) for k, x in single.p.items()})  # exact enough for differences
-    loss, g = model.step(windows, vocabulary.head[targets], vocabulary.tail[targets], weights)
-    for name, at in (("q", (1, 2)), ("v", (3, 3)), ("near", (2,)), ("up", (0, 5)), ("embed", (3, 4)), ("head", (2, 7))):
+    batch = attention.batch_of(vocabulary, slices)
+    loss, g = model.step(*batch, weights)
+    for name, at in (("q", (1, 2)), ("v", (3, 3)), ("near", (2,)), ("up", (0, 5)), ("embed", (3, 4)), ("head", (2, 5)), ("tier0", (1, 2)), ("tier1_bias", (0,))):
         old = model.p[name][at]
         model.p[name][at] = old + 1e-5
-        up, _ = model.step(windows, vocabulary.head[targets], vocabulary.tail[targets], weights)
+        up, _ = model.step(*batch, weights)
         model.p[name][at] = old - 1e-5
-        down, _ = model.step(windows, vocabulary.head[targets], vocabulary.tail[targets], weights)
+        down, _ = model.step(*batch, weights)
         model.p[name][at] = old
         assert math.isclose((up - down) / 2e-5, g[name][at], rel_tol=0.01, abs_tol=1e-5), name
     whole = attention.text_scores(single, vocabulary, ids, sizes)
     alone = [attention.text_scores(single, vocabulary, ids[a:b], np.array([b - a]))[0] for a, b in ((0, 20), (20, 20), (20, 37))]
     assert np.allclose(whole, alone, rtol=1e-5)
-    assert math.isclose(-whole.sum() * math.log(10) / 40, loss, rel_tol=1e-4)
+    rest = vocabulary.share[targets][weights].sum()
+    assert math.isclose(-(whole.sum() * math.log(10) - rest) / 40, loss, rel_tol=1e-4)
+    # brute force: each token's own window, attention and softmaxes written out
+    p = {k: x.astype(np.float64) for k, x in single.p.items()}
+    flat = [39] * attention.LEAD + ids[20:].tolist() + [39]
+    total = 0.0
+    for k in range(18):
+        begin = k // attention.SCORED * attention.SCORED
+        here = k + attention.LEAD - 1  # the input before the target
+        seen = flat[begin : here + 1]
+        e = [p["embed"][vocabulary.entry[x]] for x in seen]
+        z = np.array([e[-1] @ p["q"] @ (p["k"].T @ x) / attention.DIM**0.5 + p["near"][len(seen) - 1 - j] for j, x in enumerate(e)])
+        z = np.exp(z) / np.exp(z).sum()
+        h = e[-1] + sum(w * (x @ p["v"]) for w, x in zip(z, e, strict=True))
+        h = h + np.maximum(h @ p["up"] + p["up_bias"], 0) @ p["down"]
+        soft = lambda name, y: (lambda o: o[y] - np.log(np.exp(o).sum()))(h @ p[name] + p[f"{name}_bias"])  # noqa: B023, E731
+        target = flat[here + 1]
+        total += soft("head", vocabulary.head[target]) + vocabulary.share[target]
+        if vocabulary.tier[target] >= 0:
+            total += soft(f"tier{vocabulary.tier[target]}", vocabulary.place[target])
+    assert math.isclose(total / math.log(10), alone[2], rel_tol=1e-4)
+
+
+def test_output_probabilities_add_up():
+    counts = np.random.default_rng(3).integers(0, 50, 3000)
+    vocabulary = attention.Vocabulary.of(counts, 2999)
+    model = attention.Attention.new(vocabulary)
+    slices = np.zeros((3000, attention.SLICE), np.int64)
+    slices[:, -1] = np.arange(3000)  # the same inputs before every possible target
+    total = model.log_probs(*attention.batch_of(vocabulary, slices))[:, -1] + vocabulary.share
+    assert math.isclose(np.exp(total).sum(), 1, rel_tol=1e-3)
+
+
+def test_lm_beats_its_base_and_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    data, stem = [], ["walking", "talking", "reading", "table", "window", "green", "river"]
+    for i in range(400):
+        w = [stem[rng.integers(7)]]
+        for _ in range(60):
+            w.append(stem[(stem.index(w[-1]) * 3 + 1 + int(rng.random() < 0.1)) % 7])
+        data.append((i, " ".join(w)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    one, two = ({r.doc_id: r for r in lm_score.score_documents(docs.repartition(n, "doc_id"), PATH).collect()} for n in (1, 6))
+    assert all(math.isclose(one[i].score, two[i].score, rel_tol=1e-3) for i in one)
+    held = [r for r in one.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 # near duplicates
