@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -32,6 +33,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value computed once however often f uses it, inside of lambdas too."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def empty_if_null(c: str | Column) -> Column:
     return F.coalesce(col(c), F.lit(""))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+from .split import shuffle_key
+
 
 def with_hash(rows: DataFrame, content: str, name: str = "content_hash") -> DataFrame:
     return rows.withColumn(name, F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit("").cast("binary")), 256))
@@ -23,36 +24,53 @@ def leakage(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(split).alias("splits")).where("splits > 1")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quill-"))
-    return df.checkpoint()
-
-
 def components(rows: DataFrame, left: str, right: str) -> DataFrame:
     """left, component: left keys that share right keys, directly or through others; component is the least left key.
 
     Each round takes the least label over a right key and over a left key, and follows the label's own label, so paths
-    halve; the lineage is cut by a checkpoint in the shared folder.
+    halve. Rounds are tables in the shared folder, written once each, and read by the next one's joins as they are, so
+    that a hot key's rows can be split.
     """
     edges = rows.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l IS NOT NULL AND r IS NOT NULL").distinct()
-    edges = _cut(edges)
-    labels = _cut(edges.select("l", F.col("l").alias("c")).distinct())
+    edges = written(edges, "component-edges")
+    labels = written(edges.select("l", F.col("l").alias("c")).distinct(), "component-labels")
     while True:
-        over = edges.join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
-        least = edges.join(over, "r").groupBy("l").agg(F.min("c").alias("c"))
+        over = written(edges.join(labels, "l").groupBy("r").agg(F.min("c").alias("c")), "component-over")
+        least = written(edges.join(over, "r").groupBy("l").agg(F.min("c").alias("c")), "component-least")
         jump = least.join(labels.select(F.col("l").alias("c"), F.col("c").alias("up")), "c", "left")
-        new = _cut(jump.select("l", F.least("c", F.coalesce("up", "c")).alias("c")))
+        new = written(jump.select("l", F.least("c", F.coalesce("up", "c")).alias("c")), "component-labels")
         moved = new.join(labels.withColumnRenamed("c", "old"), "l").where("c <> old").limit(1).count()
         labels = new
         if not moved:
             return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
 
 
+def component_split(labels: DataFrame, component: str = "component", seed: int = 42, train: float = 0.8, dev: float = 0.1) -> DataFrame:
+    """labels with ``split``: whole components go to train, validation or test by a hash, in about these parts, without
+    ordering them. Sources or hashes that are linked never meet across splits."""
+    h = F.substring(shuffle_key(seed, component), 1, 4)
+    edge = lambda share: F.lit(f"{round(share * 0x10000):04x}")
+    return labels.withColumn("split", F.when(h < edge(train), "train").when(h < edge(train + dev), "validation").otherwise("test"))
+
+
+#: Keys of a block of a checksum.
+BLOCK_KEYS = 100_000
+
+
 def checksum(rows: DataFrame, key: str, *by: str) -> DataFrame:
-    """SHA-256 of the sorted keys joined by newlines, for manifests of ids that fit a row."""
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), "\n").cast("binary"), 256).alias("checksum"), F.count(F.lit(1)).alias("n"))
+    """SHA-256 of a list of keys, whatever their order, and their number.
+
+    Keys are dealt into blocks by their own hash, each block's sorted keys are hashed, and the sorted hashes of the blocks
+    again, so no list is longer than a block or than the number of blocks. Blocks follow from the largest list alone;
+    a list of up to BLOCK_KEYS keys is one block, and its sum that of its sorted keys joined by newlines.
+    """
+    text = rows.select(*by, F.col(key).cast("string").alias("_key"))
+    most = text.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    blocks = -(-most // BLOCK_KEYS) or 1
+    sums = lambda c: F.sha2(F.array_join(F.sort_array(F.collect_list(c)), "\n").cast("binary"), 256)
+    parts = text.groupBy(*by, F.pmod(F.xxhash64("_key"), F.lit(blocks)).alias("_block")).agg(sums("_key").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    whole = F.max("_sum") if blocks == 1 else sums("_sum")
+    return parts.groupBy(*by).agg(whole.alias("checksum"), F.sum("_n").alias("n"))
 
 
 def ngram_counts(rows: DataFrame, words: Column, n: int = 5) -> DataFrame:

@@ -24,13 +24,15 @@ def _alphabet() -> Column:
 def word_distance(ref: Column, hyp: Column) -> Column:
     """Unit-cost edit distance of two arrays of words, by the built-in distance of strings with a symbol for each
     different word. Pairs with more than SYMBOLS different words take symbols by number; more than ALL_SYMBOLS fail."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    place = lambda w: F.array_position(vocabulary, w).cast("int")
-    near = lambda w: F.substring(_alphabet(), place(w), F.lit(1))
-    far = lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + (FIRST_SYMBOL - 1)), 8, "0")), "UTF-32")
-    distance = lambda symbol: F.levenshtein(*(F.array_join(F.transform(x, symbol), "") for x in (ref, hyp)))
-    size = F.size(vocabulary)
-    return F.when(size <= SYMBOLS, distance(near)).when(size <= ALL_SYMBOLS, distance(far)).when(size > ALL_SYMBOLS, F.raise_error(F.lit("too many different words for word_distance")).cast("int"))
+    def distance(vocabulary: Column) -> Column:
+        place = lambda w: F.array_position(vocabulary, w).cast("int")
+        near = lambda w: F.substring(_alphabet(), place(w), F.lit(1))
+        far = lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + (FIRST_SYMBOL - 1)), 8, "0")), "UTF-32")
+        by = lambda symbol: F.levenshtein(*(F.array_join(F.transform(x, symbol), "") for x in (ref, hyp)))
+        size = F.size(vocabulary)
+        return F.when(size <= SYMBOLS, by(near)).when(size <= ALL_SYMBOLS, by(far)).when(size > ALL_SYMBOLS, F.raise_error(F.lit("too many different words for word_distance")).cast("int"))
+
+    return T.bound(F.array_distinct(F.concat(ref, hyp)), distance)
 
 
 def pair_statistics(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis", native=T.is_bengali_word, english=T.is_english_word) -> DataFrame:
@@ -54,7 +56,7 @@ def pair_statistics(pairs: DataFrame, ref: str = "reference", hyp: str = "hypoth
         "n_en": F.size("_re"), "en_edits": counted(word_distance(F.col("_re"), filled("_he")), F.size("_re")),
         "en_cased_edits": counted(word_distance(F.col("_rr"), filled("_hr")), F.size("_rr")),
         "detected": codemix.is_code_switched_text(hyp, native, english),
-        "en_kept": F.size(F.filter("_re", lambda w: F.array_contains(F.col("_he"), w))),
+        "en_kept": F.size(F.filter("_re", lambda w: F.array_contains(F.col("_he"), w))), "native_in_hyp": F.size("_hb") > 0,
     })
     return rows.drop("_r", "_h", "_rs", "_hs", "_rb", "_hb", "_re", "_he", "_rr", "_hr")
 
@@ -131,6 +133,59 @@ def error_breakdown(pairs: DataFrame, *by: str, ref: str = "reference", hyp: str
     return rows.groupBy(*by).agg(F.sum("n").alias("n_words"), *(c.alias(k) for k, c in sums.items()), *(F.round(F.try_divide(c, F.sum("n")), 4).alias(f"{k}_rate") for k, c in sums.items()))
 
 
+def english_deletions(pairs: DataFrame, *by: str, ref: str = "reference", hyp: str = "hypothesis", english=T.is_english_word) -> DataFrame:
+    """English reference words, those that an alignment with the hypothesis's English words deletes, and their share.
+
+    A hypothesis without English words counts as one word that fits none; references without any aren't counted."""
+    en = lambda c: F.transform(F.filter(T.words(c), english), F.lower)
+    rows = pairs.select(*by, en(ref).alias("_r"), en(hyp).alias("_h")).where(F.size("_r") > 0)
+    filled = F.when(F.size("_h") == 0, F.array(F.lit("<empty>"))).otherwise(F.col("_h"))
+    rows = rows.select(*by, F.size("_r").alias("n"), alignment(F.col("_r"), filled)["del"].alias("d"))
+    return rows.groupBy(*by).agg(F.sum("n").alias("en_words"), F.sum("d").alias("en_deleted"), F.round(F.try_divide(F.sum("d"), F.sum("n")), 4).alias("en_deletion_rate"))
+
+
+def english_survival(statistics: DataFrame, *by: str, flag: str = "is_code_switched") -> DataFrame:
+    """English words of code-switched references, kept and deleted ones, and those deleted where the hypothesis has
+    native words, so that they may have been transliterated."""
+    rows = statistics.where(F.coalesce(F.col(flag), F.lit(False))).withColumn("_gone", F.col("n_en") - F.col("en_kept"))
+    gone, n = F.sum("_gone"), F.sum("n_en")
+    return rows.groupBy(*by).agg(
+        n.alias("en_words"), F.sum("en_kept").cast("long").alias("kept"), F.round(F.try_divide(F.sum("en_kept"), n), 4).alias("survival"), gone.cast("long").alias("deleted"),
+        F.sum(F.when(F.col("native_in_hyp"), F.col("_gone")).otherwise(0)).cast("long").alias("transliterated"), F.round(F.try_divide(gone, n), 4).alias("deletion_rate"),
+    )
+
+
+def f1_of(tp: str, fp: str, fn: str):
+    """F1 as a function of sums, 0 for an empty denominator."""
+    return lambda s: F.coalesce(F.try_divide(2 * s[tp], 2 * s[tp] + s[fp] + s[fn]), F.lit(0.0))
+
+
+def views(pairs: DataFrame, variants: Column, ref: str = "reference", hyp: str = "hypothesis", unicode: bool = True) -> DataFrame:
+    """pairs twice, by ``view``: 'surface' with both texts surface-normalised, 'variants' with known variants of words
+    in their canonical form as well. What is stored stays as it is."""
+    surface = pairs.withColumns({c: T.normalize_transcript(c, unicode=unicode) for c in (ref, hyp)})
+    canonical = surface.withColumns({c: T.normalize_variants(c, variants) for c in (ref, hyp)})
+    return surface.withColumn("view", F.lit("surface")).unionByName(canonical.withColumn("view", F.lit("variants")))
+
+
+def training_error_rate(pairs: DataFrame, *by: str, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
+    """Word error rate while training: pairs without a reference are left out, and without any pair it is 1."""
+    r, h = T.words(ref), T.words(hyp)
+    rows = pairs.select(*by, F.size(r).alias("n"), F.when(F.size(r) > 0, word_distance(r, h)).otherwise(0).alias("e"))
+    return rows.groupBy(*by).agg(F.round(F.coalesce(F.try_divide(F.sum("e"), F.sum("n")), F.lit(1.0)), 4).alias("wer"))
+
+
+def restored_labels(ids: Column, pad: int) -> Column:
+    """Label ids with the padding id where training has put -100."""
+    return F.transform(ids, lambda x: F.when(x == -100, F.lit(pad)).otherwise(x))
+
+
+def with_human_references(predictions: DataFrame, human: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Predictions of the clips that people have transcribed, with ``silver`` (the old reference) and their reference."""
+    truth = human.select(key, F.col("human_transcript").alias("_truth")).where(~T.blank("_truth"))
+    return predictions.join(truth, key).withColumns({"silver": F.col("reference"), "reference": F.col("_truth")}).drop("_truth")
+
+
 def counted_substitutions(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
     """All substituted pairs and how often they occur."""
     rows = pairs.where(~T.blank(ref)).select(F.explode(alignment(T.words(ref), T.words(hyp))["pairs"]).alias("p"))

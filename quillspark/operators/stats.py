@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Resamples that one row of work draws.
-RESAMPLES_A_TASK = 50
+#: Weights (rows times resamples) that a task holds at a time.
+HELD_WEIGHTS = 2_000_000
+#: Thresholds of the Poisson(1) distribution for a hash of 32 bits: P(0), P(0) + P(1) and so on.
+_THRESHOLDS = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+#: Odd constants of the mixing of 64-bit numbers (splitmix64).
+_STEP, _MIX_1, _MIX_2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def order_statistic(values: Column, q: float) -> Column:
@@ -18,71 +23,111 @@ def order_statistic(values: Column, q: float) -> Column:
     return F.element_at(F.array_sort(values), F.least(F.floor(F.size(values) * q).cast("int") + 1, F.size(values)))
 
 
-def hashed_poisson(seed: int, *key: Column) -> Column:
-    """A Poisson(1) weight from a hash: the number of thresholds of the distribution that a hashed uniform passes."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in key)).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    steps, total, p = [], 0.0, float(np.exp(-1))
-    for k in range(1, 9):
-        total += p
-        steps.append(round(total, 12))
-        p /= k
-    return sum((F.when(u >= t, 1).otherwise(0) for t in steps), F.lit(0))
+def poisson_weights(keys: np.ndarray, resamples: np.ndarray, seed: int) -> np.ndarray:
+    """A Poisson(1) weight for each key and resample from a hash of both: the thresholds that its upper half reaches."""
+    h = (keys.astype(np.int64).view(np.uint64)[:, None] + np.uint64(seed)) * np.uint64(_STEP) + resamples.astype(np.uint64)[None] * np.uint64(_MIX_1)
+    h ^= h >> np.uint64(30)
+    h *= np.uint64(_MIX_1)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(_MIX_2)
+    top = (h >> np.uint64(32)).astype(np.uint32)
+    out = np.zeros(top.shape, np.float64)
+    for t in _THRESHOLDS:
+        out += top >= np.uint32(t)
+    return out
 
 
-def bootstrap_rates(rows: DataFrame, b: int, key: str, edits: str, n: str, by: list[str], seed: int = 42) -> DataFrame:
-    """by, resample, rate for b Poisson resamples, all in the JVM: rows times b, reduced at once on the map side."""
-    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("w", hashed_poisson(seed, F.col("resample"), F.col(key))).where("w > 0")
-    return drawn.groupBy(*by, "resample").agg(F.try_divide(F.sum(F.col("w") * F.col(edits)), F.sum(F.col("w") * F.col(n))).alias("rate"))
+def resampled_sums(rows: DataFrame, b: int, key: str, sums: list[str], by: list[str] = [], seed: int = 42) -> DataFrame:  # noqa: B006
+    """by, resample and weighted sums of columns for b Poisson resamples of rows (or of clusters, given their sums).
+
+    A row's weight in a resample is a hash of its key (a whole number, or the hash of anything else), so results don't
+    depend on partitions. Each task draws all weights of some rows at a time as a matrix and adds up its products; only a
+    row for each resample and group leaves it.
+    """
+    number = F.col(key).cast("long") if dict(rows.dtypes)[key] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64(key)
+    picked = rows.select(number.alias("_key"), F.struct(*by).alias("_by") if by else F.lit(0).alias("_by"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(sums)))
+    kind = picked.schema["_by"].dataType.simpleString()
+    names = [f"_{i}" for i in range(len(sums))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws, total, groups = np.arange(b), {}, {}
+        for batch in batches:
+            keys = np.asarray(batch.column(0).fill_null(0))
+            values = np.stack([np.asarray(batch.column(2 + i)) for i in range(len(names))], 1)
+            coded = pa.array([str(x) for x in batch.column(1).to_pylist()]).dictionary_encode()
+            codes = np.asarray(coded.indices)
+            for code, name in enumerate(coded.dictionary.to_pylist()):
+                mine = np.flatnonzero(codes == code)
+                groups.setdefault(name, batch.column(1).slice(mine[0], 1))
+                held = total.setdefault(name, np.zeros((b, len(names))))
+                size = max(1, HELD_WEIGHTS // b)
+                for s in range(0, len(mine), size):
+                    some = mine[s : s + size]
+                    held += poisson_weights(keys[some], draws, seed).T @ values[some]
+        for name, held in total.items():
+            out = pa.concat_arrays([groups[name]] * b) if b else groups[name].slice(0, 0)
+            yield pa.RecordBatch.from_arrays([out, pa.array(draws), *(pa.array(held[:, i]) for i in range(len(names)))], ["_by", "resample", *names])
+
+    drawn = picked.mapInArrow(run, f"_by {kind}, resample long, " + ", ".join(f"{n} double" for n in names))
+    whole = drawn.groupBy("_by", "resample").agg(*(F.sum(n).alias(c) for n, c in zip(names, sums, strict=True)))
+    return whole.select(*(F.col("_by")[c].alias(c) for c in by), "resample", *sums)
+
+
+def interval(drawn: DataFrame, value: Column, by: list[str] = [], level: float = 0.95) -> DataFrame:  # noqa: B006
+    """by, low, high: the percentile interval of a function of resampled sums. b values a group, not rows."""
+    tail = (1 - level) / 2
+    values = drawn.groupBy(*by).agg(F.collect_list(value).alias("values"))
+    return values.select(*by, F.round(order_statistic(F.col("values"), tail), 4).alias("low"), F.round(order_statistic(F.col("values"), 1 - tail), 4).alias("high"))
+
+
+def metric_interval(rows: DataFrame, b: int, key: str, sums: list[str], metric: Callable[[dict[str, Column]], Column], by: list[str] = [], level: float = 0.95, seed: int = 42) -> DataFrame:  # noqa: B006
+    """by, value, low, high of any metric that is a function of sums, such as an error rate, F1 or survival."""
+    whole = rows.groupBy(*by).agg(*(F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in sums))
+    of = metric({c: F.col(c) for c in sums})
+    ends = interval(resampled_sums(rows, b, key, sums, by, seed), of, by, level)
+    value = whole.select(*by, F.round(of, 4).alias("value"))
+    return value.join(ends, by) if by else value.crossJoin(ends)  # one row each
 
 
 def bootstrap_interval(rows: DataFrame, b: int, key: str, edits: str, n: str, by: list[str], level: float = 0.95, seed: int = 42) -> DataFrame:
     """by, rate, low, high: the rate of all rows and its percentile interval."""
-    tail = (1 - level) / 2
-    drawn = bootstrap_rates(rows, b, key, edits, n, by, seed).groupBy(*by).agg(F.collect_list("rate").alias("rates"))
-    whole = rows.groupBy(*by).agg(F.round(F.try_divide(F.sum(edits), F.sum(n)), 4).alias("rate"))
-    ends = drawn.select(*by, F.round(order_statistic(F.col("rates"), tail), 4).alias("low"), F.round(order_statistic(F.col("rates"), 1 - tail), 4).alias("high"))
-    return whole.join(ends, by) if by else whole.crossJoin(ends)  # one row each
+    return metric_interval(rows, b, key, [edits, n], lambda s: F.try_divide(s[edits], s[n]), by, level, seed).withColumnRenamed("value", "rate")
 
 
-def paired_test(rows: DataFrame, b: int, key: str, edits_a: str, edits_b: str, n: str, seed: int = 42) -> DataFrame:
-    """One row: rates of A and B on the same items, their difference and relative reduction, and p-values.
+def paired_metric_test(rows: DataFrame, b: int, key: str, sums: list[str], a: Callable[[dict[str, Column]], Column], other: Callable[[dict[str, Column]], Column], seed: int = 42) -> DataFrame:
+    """One row: the metrics a and other of two systems on the same items, their difference with its interval, relative
+    reduction, and p-values. Both get the same weights in a resample; each may have a denominator of its own.
 
-    p_one: share of resamples in which A isn't worse than B by more than nothing. p_two: twice the smaller tail, each
-    with one added above and below, at most 1. A and B get the same weights in a resample.
+    p_one: share of resamples in which a isn't above other. p_two: twice the smaller tail, each with one added above and
+    below, at most 1.
     """
-    drawn = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(b - 1)))).withColumn("w", hashed_poisson(seed, F.col("resample"), F.col(key))).where("w > 0")
-    diffs = drawn.groupBy("resample").agg(F.try_divide(F.sum(F.col("w") * (F.col(edits_a) - F.col(edits_b))), F.sum(F.col("w") * F.col(n))).alias("d"))
-    tails = diffs.agg(F.count(F.lit(1)).alias("b"), F.count_if(F.col("d") <= 0).alias("low"), F.count_if(F.col("d") >= 0).alias("high"))
-    whole = rows.agg(F.try_divide(F.sum(edits_a), F.sum(n)).alias("a"), F.try_divide(F.sum(edits_b), F.sum(n)).alias("bb"))
+    columns = {c: F.col(c) for c in sums}
+    drawn = resampled_sums(rows, b, key, sums, [], seed).withColumn("d", a(columns) - other(columns))
+    tails = drawn.agg(F.count("d").alias("b"), F.count_if(F.col("d") <= 0).alias("low"), F.count_if(F.col("d") >= 0).alias("high"), F.collect_list("d").alias("ds"))
+    whole = rows.agg(*(F.sum(F.col(c).cast("double")).alias(c) for c in sums)).select(a(columns).alias("a"), other(columns).alias("o"))
     both = whole.crossJoin(tails)  # one row each
     p_one = F.try_divide("low", "b")
     return both.select(
-        F.round("a", 4).alias("rate_a"), F.round("bb", 4).alias("rate_b"), F.round(F.col("a") - F.col("bb"), 4).alias("delta"), F.round(100 * F.try_divide(F.col("a") - F.col("bb"), F.col("a")), 2).alias("reduction_pct"),
-        F.round(p_one, 4).alias("p_one"), F.round(F.least(F.lit(1.0), 2 * F.least((F.col("low") + 1) / (F.col("b") + 1), (F.col("high") + 1) / (F.col("b") + 1))), 4).alias("p_two"),
-        (p_one < 0.05).alias("significant_05"), (p_one < 0.01).alias("significant_01"),
+        F.round("a", 4).alias("rate_a"), F.round("o", 4).alias("rate_b"), F.round(F.col("a") - F.col("o"), 4).alias("delta"), F.round(order_statistic(F.col("ds"), 0.025), 4).alias("delta_low"),
+        F.round(order_statistic(F.col("ds"), 0.975), 4).alias("delta_high"), F.round(100 * F.try_divide(F.col("a") - F.col("o"), F.col("a")), 2).alias("reduction_pct"), F.round(p_one, 4).alias("p_one"),
+        F.round(F.least(F.lit(1.0), 2 * F.least((F.col("low") + 1) / (F.col("b") + 1), (F.col("high") + 1) / (F.col("b") + 1))), 4).alias("p_two"), (p_one < 0.05).alias("significant_05"), (p_one < 0.01).alias("significant_01"),
     )
 
 
-def cluster_resamples(clusters: DataFrame, b: int, sums: list[str], seed: int = 42) -> DataFrame:
-    """resample and resampled sums for b exact multinomial resamples of clusters (rows that are sums of a source).
+def paired_test(rows: DataFrame, b: int, key: str, edits_a: str, edits_b: str, n: str, seed: int = 42) -> DataFrame:
+    """paired_metric_test() of two error rates over one count of words."""
+    return paired_metric_test(rows, b, key, [edits_a, edits_b, n], lambda s: F.try_divide(s[edits_a], s[n]), lambda s: F.try_divide(s[edits_b], s[n]), seed)
 
-    The clusters go to every task as one matrix: they are as many as sources, not as utterances.
-    """
-    table = np.array([tuple(float(x or 0) for x in r) for r in clusters.select(*sums).collect()]).reshape(-1, len(sums))
-    spark = clusters.sparkSession
-    sent = spark.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sent.value
-        for batch in batches:
-            out = []
-            for k in batch["resample"] if len(rows) else ():
-                rng = np.random.default_rng([seed, int(k)])
-                out.append([int(k), *(np.bincount(rng.integers(0, len(rows), len(rows)), minlength=len(rows)) @ rows)])
-            yield pd.DataFrame(out, columns=["resample", *sums]).astype({"resample": "int64"})
+def paired_predictions(a: DataFrame, b: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Two systems' predictions of the same clips side by side: those both have, with hypothesis_a and hypothesis_b."""
+    other = b.select(key, F.col("hypothesis").alias("hypothesis_b"))
+    return a.withColumnRenamed("hypothesis", "hypothesis_a").join(other, key)
 
-    tasks = max(1, b // RESAMPLES_A_TASK)
-    return spark.range(0, b, 1, tasks).withColumnRenamed("id", "resample").mapInPandas(run, "resample long, " + ", ".join(f"{s} double" for s in sums))
+
+def cluster_resamples(clusters: DataFrame, b: int, key: str, sums: list[str], seed: int = 42) -> DataFrame:
+    """resample and resampled sums for b Poisson resamples of whole clusters (rows that are sums of a source)."""
+    return resampled_sums(clusters, b, key, sums, [], seed)
 
 
 def cohens_d(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
@@ -97,7 +142,10 @@ def cohens_dz(rows: DataFrame, a: str, b: str, *by: str) -> DataFrame:
 
 
 def holm(tests: DataFrame, p: str = "p", *by: str) -> DataFrame:
-    """tests with p_holm: p times the number of hypotheses left, never below the one before, at most 1."""
+    """tests with p_holm: p times the number of hypotheses left, never below the one before, at most 1.
+
+    A family of hypotheses is a handful of comparisons that someone reads, one family a task.
+    """
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     step = F.least(F.lit(1.0), F.col(p) * (F.count(F.lit(1)).over(w) - F.row_number().over(w.orderBy(p)) + 1))
     return tests.withColumn("_step", step).withColumn("p_holm", F.max("_step").over(w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0))).drop("_step")

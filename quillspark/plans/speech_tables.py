@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: Scripts of the tagger on these Latin-script tables: words with an accented letter are native, plain ones English.
 NATIVE, ENGLISH_WORD, WORD = r"[À-ɏ]", r"^[A-Za-z]{2,}$", r"[A-Za-zÀ-ɏ]+"
 LOWER_WORD = r"[a-zà-ɏ]+"
-#: Words of a turn that the SQL of the metrics keeps, so that its alphabet is enough; only queries compared with it do.
-PAIR_WORDS = 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +29,12 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clips(spark, sf_dir).join(labels, "clip_id")
 
 
-def pairs(spark: SparkSession, sf_dir: str, words: int | None = None) -> DataFrame:
-    """conv_id, turn, grp, reference, hypothesis: a user turn and the assistant's answer, whole or some words of each."""
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, grp, reference, hypothesis: a user turn and the assistant's answer, whole."""
     c = table(spark, sf_dir, "conversations")
     plain = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
-    cut = lambda x: plain(x) if words is None else F.array_join(F.slice(F.split(plain(x), " "), 1, words), " ")
-    user = c.where("role = 'user'").select("conv_id", "turn", cut("text").alias("reference"))
-    answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), cut("text").alias("hypothesis"))
+    user = c.where("role = 'user'").select("conv_id", "turn", plain("text").alias("reference"))
+    answer = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), plain("text").alias("hypothesis"))
     return user.join(answer, ["conv_id", "turn"]).withColumn("grp", F.col("conv_id") % 4)
 
 

@@ -14,11 +14,11 @@ def conversations(spark, path):
 
 def test_words_after_the_fortieth_count(spark, tmp_path):
     sf = conversations(spark, tmp_path)
-    for name in ("corpus_wer_by_group_whole", "metric_bundle"):
+    for name in ("corpus_wer_by_group", "metric_bundle"):
         assert {r.wer for r in registry.queries()[name](spark, sf).collect()} == {round(2 / 60, 4)}
     assert {(r["sub"], r["del"], r.n_words) for r in metric_queries.error_breakdown(spark, sf).collect()} == {(2, 2, 120)}
     assert {r.cer for r in metric_queries.corpus_cer(spark, sf).collect()} != {0.0}
-    assert metric_queries.worst_pairs_topk(spark, sf).first().wer == 0.0  # held to its SQL
+    assert metric_queries.worst_pairs_topk(spark, sf).first().wer == round(2 / 60, 4)
 
 
 def test_distance_beyond_the_alphabet(spark, monkeypatch):
@@ -37,13 +37,13 @@ def test_rare_spelling_variants(spark, tmp_path):
 def test_resamples(spark, tmp_path):
     sf = conversations(spark, tmp_path)
     assert metric_queries.cluster_bootstrap(spark, sf).count() == 10_000
-    x = registry.queries()["paired_bootstrap_whole"](spark, sf).first()
-    assert x.p_two < 0.001 and registry.queries()["bootstrap_ci_whole"](spark, sf).count() == 4
+    x = registry.queries()["paired_bootstrap"](spark, sf).first()
+    assert x.p_two < 0.001 and registry.queries()["bootstrap_ci"](spark, sf).count() == 4
 
 
 def test_components_of_all_rows(spark, tmp_path):
     spark.createDataFrame([(10, 7), (11, 7), (11, 3), (20, 3), (30, 14)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r.l_orderkey: r.component for r in corpus_queries.components_whole(spark, str(tmp_path)).collect()}
+    got = {r.l_orderkey: r.component for r in corpus_queries.components(spark, str(tmp_path)).collect()}
     assert got == {10: 10, 11: 10, 20: 10, 30: 30}
 
 
