@@ -93,8 +93,8 @@ def classify(tags: Column) -> Column:
     return T.bound(T.bound(_facts(tags), _shares), whole)
 
 
-def classify_relaxed(tags: Column, known: Column) -> Column:
-    """Label and ratios of a trial run: only plausible English words count, and switches don't matter."""
+def classify_relaxed(tags: Column, known: list[str]) -> Column:
+    """Label and ratios of a trial run: only plausible English words count (known: a short list), switches don't."""
     en_word = lambda t: (t["lang"] == "EN") & plausible_english(t["word"], known)
     start = F.struct(F.lit(0).alias("bn"), F.lit(0).alias("en"), F.lit(0).alias("switches"))
     one = lambda is_so: F.when(F.coalesce(is_so, F.lit(False)), 1).otherwise(0)
@@ -136,6 +136,6 @@ def is_code_switched_text(c: str | Column, bn=is_bengali_word, en=is_english_wor
     return F.coalesce((total >= 4) & (n_bn >= 2) & (n_en >= 1) & share.between(0.05, 0.8), F.lit(False))
 
 
-def plausible_english(word: Column, known: Column) -> Column:
+def plausible_english(word: Column, known: list[str]) -> Column:
     """An English word of a code-switched clip: three letters or more, known, or capitalised with four or more."""
-    return word.rlike("^[A-Za-z]{3,}$") & (F.array_contains(known, F.lower(word)) | word.rlike("^[A-Z][A-Za-z]{3,}$"))
+    return word.rlike("^[A-Za-z]{3,}$") & (word.rlike("^[A-Z][A-Za-z]{3,}$") | F.lower(word).isin(known))

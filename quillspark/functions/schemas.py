@@ -20,3 +20,8 @@ CATALOGUE = "map<string,struct<dialect:string,domain:string,queries:array<string
 SCORES = "map<string,struct<wer_overall:double,cer_overall:double,wer_cs_subset:double,mix_er:double,cs_f1:double>>"
 PUBLIC = ("clip_id", "transcript", "normalized_transcript", "dialect", "domain", "is_code_switched", "bn_ratio", "en_ratio", "duration_sec", "split")
 REVIEW_SHEET = ("clip_id", "audio_path", "dialect", "domain", "duration_sec", "transcript", "human_transcript", "clip_label", "is_code_switched", "bn_ratio", "en_ratio", "switch_count", "avg_no_speech_prob")
+#: Columns of the reviewers' sheet in their order, and what stands for a missing value.
+REVIEW_LAYOUT = {
+    "clip_id": "", "audio_path": "", "duration_sec": "", "auto_transcript": "", "is_code_switched": "false", "dialect": "", "domain": "General", "bn_ratio": "0.0", "en_ratio": "0.0",
+    "cs_confidence": "NONE", "switch_count": "0", "human_transcript": "", "notes": "",
+}

@@ -142,8 +142,39 @@ def untag_text(text: Column) -> Column:
     return F.regexp_replace(text, r"^\[[^\]]*\]\s*", "")
 
 
+# Names that model folders once had.
+LEGACY_NAMES = {"ft_whisper_bn_only": "ft_bn_only", "ft_whisper_cs_only": "ft_cs_only"}
+
+
 def model_family(key: Column) -> Column:
-    return F.when(key.rlike("(wav2vec2|mms|xlsr)"), "ctc").otherwise("whisper")
+    """Architecture by a model's key."""
+    return F.when(key.endswith("_lm"), "lm").when(key.startswith("ft_whisper_"), "whisper").when(key.startswith("ft_wav2vec2_") | key.startswith("ft_wavlm_"), "ctc").otherwise("unknown")
+
+
+def model_folder(models: DataFrame, folders: DataFrame, key: str = "model") -> DataFrame:
+    """models with ``folder``: that of their key, that of its legacy name where only that exists, else that of the key."""
+    names = F.create_map(*(F.lit(x) for pair in LEGACY_NAMES.items() for x in pair))
+    there = folders.select("folder").distinct()
+    own = there.select(F.col("folder").alias("_own"))
+    old = there.select(F.col("folder").alias("_old"))
+    both = models.join(own, F.col(key) == F.col("_own"), "left").join(old, F.element_at(names, F.col(key)) == F.col("_old"), "left")
+    return both.withColumn("folder", F.coalesce("_own", "_old", key)).drop("_own", "_old")
+
+
+def nullable_number(c: Column) -> Column:
+    """A confidence as a number, null for whatever isn't one."""
+    return c.cast("string").try_cast("double")
+
+
+def prediction_rows(clips: DataFrame, hypothesis: Column) -> DataFrame:
+    """Prediction records of clips, in the columns and types of the schema, with defaults for what is missing."""
+    from ..functions.schemas import PREDICTIONS
+
+    fixed = {"dialect": "unknown", "domain": "General", "is_code_switched": False, "bn_ratio": 0.0, "en_ratio": 0.0}
+    made = {"reference": F.col("transcript"), "hypothesis": hypothesis}
+    fields = [f.split() for f in PREDICTIONS.split(", ")]
+    cell = lambda c: made.get(c, F.col(c) if c in clips.columns else F.lit(None))
+    return clips.select(*((F.coalesce(cell(c).cast(t), F.lit(fixed[c]).cast(t)) if c in fixed else cell(c).cast(t)).alias(c) for c, t in fields))
 
 
 def split_of(rows: DataFrame, test: DataFrame, validation: DataFrame, key: str = "clip_id") -> DataFrame:
@@ -158,6 +189,22 @@ def training_rows(rows: DataFrame, files: DataFrame, text: str = "transcript") -
     return rows.where(F.trim(text) != "").join(files.select("audio_path").distinct(), "audio_path", "left_semi")
 
 
+def training_losses(rows: DataFrame, files: DataFrame, text: str = "transcript") -> DataFrame:
+    """One row: how many rows training_rows() keeps, and drops for missing audio and, of the others, for blank text."""
+    there = files.select("audio_path").distinct().withColumn("_there", F.lit(True))
+    marked = rows.join(there, "audio_path", "left")
+    gone, blank = F.col("_there").isNull(), F.coalesce(F.trim(text), F.lit("")) == ""
+    return marked.agg(F.count_if(~gone & ~blank).alias("kept"), F.count_if(gone).alias("no_audio"), F.count_if(~gone & blank).alias("no_text"))
+
+
+def symbols_of(text: Column, vocabulary: DataFrame) -> Column:
+    """Label ids of a text for a character vocabulary (symbol, id; small): blanks are '|', unknown characters <unk>."""
+    ids = {r.symbol: r.id for r in vocabulary.collect()}
+    known = F.create_map(*(F.lit(x) for pair in ids.items() for x in pair))
+    characters = F.filter(F.split(F.replace(text, F.lit(" "), F.lit("|")), ""), lambda c: c != "")
+    return F.transform(characters, lambda c: F.coalesce(F.element_at(known, c), F.lit(ids["<unk>"])))
+
+
 def is_augmented(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/")).rlike("augment|synthetic")
 

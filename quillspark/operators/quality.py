@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
 
@@ -164,41 +166,51 @@ def seeds(scored: DataFrame, kind: str, at_least: int = 3) -> DataFrame:
     }[kind])
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Indel similarity from 0 to 100: twice the longest common subsequence over both lengths.
-
-    The insertions and deletions follow from the subsequence, found by a fold over the shorter word's characters.
-    """
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(100.0)).otherwise(200.0 * _lcs(a, b) / total)
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, the rows of its table kept as the bits of one number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = row = (1 << len(a)) - 1
+    for c in b:
+        same = row & at.get(c, 0)
+        row = (row + same | row - same) & whole
+    return len(a) - row.bit_count()
 
 
-def _lcs(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two short words: the last row of the table, by nested folds."""
-    right = F.split(b, "")
-    start = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+@F.pandas_udf(DoubleType())
+def _indel_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([200.0 * _lcs(x, y) / (len(x) + len(y)) if x or y else 100.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
-    def row(above: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            same = F.element_at(right, j) == x
-            best = F.when(same, F.element_at(above, j) + 1).otherwise(F.greatest(F.element_at(above, j + 1), F.element_at(done, -1)))
-            return F.concat(done, F.array(best))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell)
-
-    return F.element_at(F.aggregate(F.split(a, ""), start, row), -1)
+def similarity(a: Column, b: Column) -> Column:
+    """Indel similarity from 0 to 100: twice the longest common subsequence over both lengths; 100 for two empty words."""
+    return _indel_similarity(a, b)
 
 
 def nearest_words(tokens: DataFrame, dictionary: DataFrame, least: float = 80.0) -> DataFrame:
     """token, word, similarity: the most similar dictionary word with at least that similarity, the first of equals.
 
-    Words are only compared where their lengths and first characters allow the similarity: a word is joined by the
-    lengths in reach, so pairs beyond reach are never formed. Equal words win at once.
+    A similarity of ``least`` allows a number of insertions and deletions that follows from both lengths. A token cut into
+    one piece more than that has a piece that no edit touches, so the word holds it at nearly the same place: tokens and
+    words are joined by such pieces, and no other pair is formed. Of these the built-in edit distance, which isn't more
+    than insertions and deletions, lets few through to the exact comparison. Every word in reach is found.
     """
+    share = (100.0 - least) / 100.0
     reach = lambda n: F.sequence(F.ceil(n * least / (200 - least)).cast("int"), F.floor(n * (200 - least) / least).cast("int"))
-    left = tokens.select("token").distinct().withColumn("size", F.explode(reach(F.length("token"))))
-    right = dictionary.select("word").distinct().withColumn("size", F.length("word"))
-    pairs = left.join(right, "size").withColumn("similarity", similarity(F.col("token"), F.col("word"))).where(F.col("similarity") >= least)
+    left = tokens.select("token").where("token <> ''").distinct().withColumn("size", F.explode(reach(F.length("token"))))
+    left = left.withColumn("edits", F.floor((F.length("token") + F.col("size")) * share + 1e-9).cast("int"))
+    left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
+    cut = lambda i: F.floor(i * F.length("token") / (F.col("edits") + 1)).cast("int")
+    left = left.withColumns({"at": cut(F.col("i")) + 1, "long": cut(F.col("i") + 1) - cut(F.col("i"))})
+    left = left.select("token", "size", "edits", "at", "long", F.substring("token", F.col("at"), F.col("long")).alias("piece"))
+    # a piece without a letter (more edits than letters) is in every word
+    right = dictionary.select("word").where("word <> ''").distinct().withColumn("size", F.length("word")).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("size"))))
+    right = right.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("place") + 1))).select("word", "size", "place", F.substring("word", F.col("place"), F.col("n")).alias("piece"))
+    pairs = left.where("long > 0").join(right, ["size", "piece"]).where("abs(at - place) <= edits").select("token", "word", "edits")
+    short = left.where("long = 0").join(right.select("word", "size").distinct(), "size").select("token", "word", "edits")
+    pairs = pairs.unionByName(short).distinct().where(F.levenshtein("token", "word", 1000) <= F.col("edits"))
+    pairs = pairs.withColumn("similarity", similarity(F.col("token"), F.col("word"))).where(F.col("similarity") >= least)
     best = F.min_by(F.struct("word", "similarity"), F.struct(-F.col("similarity"), F.col("word")))
     return pairs.groupBy("token").agg(best.alias("best")).select("token", "best.word", "best.similarity")
 

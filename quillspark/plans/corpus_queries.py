@@ -12,7 +12,7 @@ from . import speech_tables as D
 from .registry import query
 
 CLIPS = "c AS (SELECT doc_id AS clip_id, text AS transcript, lang AS dialect, source AS source_id, n_chars / 15.0 AS duration_sec FROM documents)"
-FLAGGED = CLIPS + ", fl AS (SELECT c.*, toxic = 1 AS is_code_switched, quality FROM c JOIN labels ON doc_id = clip_id)"
+FLAGGED = CLIPS + ", fl AS (SELECT c.*, coalesce(toxic = 1, false) AS is_code_switched, coalesce(quality, 0) AS quality FROM c LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality FROM labels GROUP BY doc_id) ON doc_id = clip_id)"
 TOKENS = CLIPS + ", t AS (SELECT clip_id, dialect, unnest(regexp_extract_all(lower(transcript), '[a-zà-ɏ]+')) AS token FROM c)"
 LEXICON = "lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ɏ]+')) AS token FROM benchmark)"
 WORD = D.LOWER_WORD
@@ -31,7 +31,22 @@ def surface_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", x.alias("clean"))
 
 
-@query()
+_CLASSES = {
+    "invisible": r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{FEFF}\x{00AD}]+", "links": r"(?i)https?://\S+|www\.\S+", "tags": r"#[\p{L}\p{N}_]+", "names": r"@[\p{L}\p{N}_]+",
+    "emoji": r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}\x{10000}-\x{10FFFF}\x{2600}-\x{2B55}\x{200D}\x{23CF}\x{23E9}\x{231A}\x{FE0F}\x{3030}]+",
+}
+_SURFACE = "nfc_normalize(text)"
+for _pattern in _CLASSES.values():
+    _SURFACE = f"regexp_replace({_SURFACE}, '{_pattern}', ' ', 'g')"
+_SURFACE = f"translate({_SURFACE}, '০১২৩৪৫৬৭৮৯', '0123456789')"
+_NO_PUNCTUATION = r"regexp_replace({0}, '[.,!?;:\"''()\[\]{{}}<>|/\\`~@#$%^&*_+=\-\x{{0964}}\x{{0965}}]+', ' ', 'g')"
+
+
+@query(rf"""WITH s AS (SELECT conv_id, turn, {_SURFACE} AS s FROM conversations), c AS (SELECT *, string_split(s, '') AS ch FROM s),
+k AS (SELECT conv_id, turn, {_NO_PUNCTUATION.format('s')} AS plain, {_NO_PUNCTUATION.format("array_to_string(list_transform(list_filter(range(1, len(ch) + 1), lambda i: i <= 2 OR NOT (ch[i] = ch[i - 1] AND ch[i] = ch[i - 2] AND ch[i] <> chr(10))), lambda i: ch[i]), '')")} AS capped FROM c),
+w AS (SELECT *, list_filter(string_split(trim(regexp_replace(capped, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM k)
+SELECT conv_id, turn, sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: i <= 2 OR NOT (w[i] = w[i - 1] AND w[i] = w[i - 2])), lambda i: w[i]), ' ')) AS clean_sha256,
+sha256(lower(trim(regexp_replace(plain, '\s+', ' ', 'g')))) AS primary_sha256 FROM w""".replace("\\s", "\s"))
 def full_surface_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps, with NFC and both caps."""
     return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.normalize_transcript("text"), 256).alias("clean_sha256"), F.sha2(T.primary_normalize("text"), 256).alias("primary_sha256"))
@@ -89,10 +104,10 @@ def switch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHEN bn + en >= 4 AND bn >= 2 AND en >= 1 AND switches >= 1 AND es BETWEEN 0.05 AND 0.8 THEN 'CS' WHEN bn >= 2 AND en >= 1 THEN 'BN_ONLY' WHEN bs >= 0.95 THEN 'BN_ONLY' WHEN es >= 0.6 THEN 'EN_ONLY' ELSE 'BN_ONLY' END AS label,
 CASE WHEN len(l) = 0 OR (es >= 0.9 AND bn <= 1) THEN 'NONE' WHEN bn + en >= 4 AND bn >= 2 AND en >= 2 AND switches >= 1 AND es BETWEEN 0.1 AND 0.7 THEN 'HIGH'
 WHEN bn + en >= 4 AND bn >= 2 AND en >= 1 AND switches >= 1 AND es BETWEEN 0.05 AND 0.8 THEN 'MEDIUM' WHEN bn >= 2 AND en >= 1 THEN 'LOW' ELSE 'NONE' END AS cs_confidence,
-bn AS bn_word_count, en AS en_word_count, switches AS switch_count FROM r""")
+bn AS bn_word_count, en AS en_word_count, switches AS switch_count, round(bs, 2) AS bn_ratio, round(es, 2) AS en_ratio FROM r""")
 def code_mix_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _tagged(spark, sf_dir).select("clip_id", codemix.classify(F.col("tags")).alias("x"))
-    return rows.select("clip_id", "x.label", "x.cs_confidence", *(F.col(f"x.{k}").cast("long").alias(k) for k in ("bn_word_count", "en_word_count", "switch_count")))
+    return rows.select("clip_id", "x.label", "x.cs_confidence", "x.bn_ratio", "x.en_ratio", *(F.col(f"x.{k}").cast("long").alias(k) for k in ("bn_word_count", "en_word_count", "switch_count")))
 
 
 @query("WITH " + FLAGGED + """, x AS (SELECT clip_id, CASE WHEN trim(transcript) = '' THEN 'empty_transcript' WHEN len(regexp_extract_all(transcript, '[À-ɏ]')) < 3 THEN 'too_short'
@@ -158,11 +173,11 @@ lw AS (SELECT clip_id, transcript, duration_sec, regexp_extract_all(lower(transc
 fx AS (SELECT clip_id, len(w) AS n, CASE WHEN duration_sec >= 4 AND len(w) > 0 THEN len(w) / duration_sec END AS wps, transcript, w FROM lw),
 ex AS (SELECT clip_id, n, wps, CASE WHEN wps < 0.8 THEN 3 ELSE 0 END + CASE WHEN len(w) >= 6 AND len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) < len(w) - 2 THEN 4 ELSE 0 END
   + CASE WHEN regexp_matches(transcript, '\\.\\.\\.\\s*$') THEN 2 ELSE 0 END AS extra FROM fx)
-SELECT clip_id, n AS token_count, coalesce(unknown_token_count, 0) AS unknown_token_count, coalesce(suspicious_token_count, 0) AS suspicious_token_count, CAST(coalesce(s, 0) + extra AS BIGINT) AS suspicion_score
+SELECT clip_id, n AS token_count, coalesce(unknown_token_count, 0) AS unknown_token_count, coalesce(suspicious_token_count, 0) AS suspicious_token_count, CAST(coalesce(s, 0) + extra AS BIGINT) AS suspicion_score, CASE WHEN n IS NOT NULL THEN round(wps, 3) END AS words_per_sec
 FROM ex LEFT JOIN pc USING (clip_id) WHERE coalesce(s, 0) + extra > 0""")
 def clip_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = D.clips(spark, sf_dir).withColumns({"transcript": F.lower("transcript"), "avg_no_speech_prob": F.lit(None).cast("double")})
-    return quality.score_clips(clips, _scored(spark, sf_dir), pattern=WORD).select("clip_id", "token_count", "unknown_token_count", "suspicious_token_count", "suspicion_score")
+    return quality.score_clips(clips, _scored(spark, sf_dir), pattern=WORD).select("clip_id", "token_count", "unknown_token_count", "suspicious_token_count", "suspicion_score", "words_per_sec")
 
 
 @query("WITH " + TOKENS + ", " + LEXICON + " SELECT DISTINCT token FROM t WHERE length(token) > 3 AND token NOT IN (SELECT token FROM lex)")
@@ -268,7 +283,10 @@ def simple_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.simple_sample(D.table(spark, sf_dir, "customer").select("c_custkey"), 100, "c_custkey")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT s_nationkey, count(*) AS rows, row_number() OVER (ORDER BY count(*) DESC, s_nationkey) AS k FROM supplier GROUP BY s_nationkey),
+f AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS s_nationkey, NULL::BIGINT AS rows, NULL::INT AS shard UNION ALL
+SELECT c.k, list_transform(range(1, 5), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN c.rows ELSE 0 END), c.s_nationkey, c.rows, CAST(list_position(load, list_min(load)) - 1 AS INT) FROM f JOIN c ON c.k = f.k + 1)
+SELECT s_nationkey, rows, shard FROM f WHERE shard IS NOT NULL""")
 def greedy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.shards(D.table(spark, sf_dir, "supplier"), "s_nationkey", 4)
 
@@ -316,10 +334,10 @@ def training_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.subsets(D.flagged(spark, sf_dir)).select("clip_id", "subset")
 
 
-@query("""WITH g AS (SELECT DISTINCT n_regionkey FROM nation), k AS (SELECT DISTINCT s_nationkey % 3 AS m FROM supplier), v AS (SELECT n_regionkey, n_nationkey % 3 AS m, count(*) AS n FROM nation WHERE n_nationkey < 20 GROUP BY ALL)
+@query("""WITH g AS (SELECT DISTINCT n_regionkey FROM nation), k AS (SELECT DISTINCT s_nationkey % 3 AS m FROM supplier), v AS (SELECT n_regionkey, n_nationkey % 3 AS m, count(*) AS n FROM nation GROUP BY ALL)
 SELECT g.n_regionkey, k.m, v.n FROM g CROSS JOIN k LEFT JOIN v ON v.n_regionkey = g.n_regionkey AND v.m = k.m""")
 def metric_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = D.table(spark, sf_dir, "nation").where("n_nationkey < 20").withColumn("m", F.col("n_nationkey") % 3).groupBy("n_regionkey", "m").agg(F.count(F.lit(1)).alias("n"))
+    rows = D.table(spark, sf_dir, "nation").withColumn("m", F.col("n_nationkey") % 3).groupBy("n_regionkey", "m").agg(F.count(F.lit(1)).alias("n"))
     return report.grid(rows, "n_regionkey", "m", "n")
 
 
@@ -337,7 +355,12 @@ def query_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.query_catalogue(profiles, domains, templates)
 
 
-@query()
+_PICK = "CAST('0x' || substr(md5('42|' || attempt || '|{0}'), 1, 8) AS BIGINT) % len({1}) + 1"
+
+
+@query(f"""WITH b AS (SELECT list_sort(list(DISTINCT p_brand)) AS brand, list_sort(list(DISTINCT p_type)) AS kind, ['{{brand}} sells {{kind}}', 'no {{kind}} but {{kind}} of {{brand}}', '{{kind}} only'] AS t FROM part),
+a AS (SELECT unnest(range(0, 1000)) AS attempt), x AS (SELECT attempt, replace(replace(t[{_PICK.format('template', 't')}], '{{brand}}', brand[{_PICK.format('brand', 'brand')}]), '{{kind}}', kind[{_PICK.format('kind', 'kind')}]) AS text FROM a, b)
+SELECT min(attempt) AS attempt, text FROM x GROUP BY text ORDER BY attempt LIMIT 100""")
 def template_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences from templates and the names of parts, brands and nations."""
     part = D.table(spark, sf_dir, "part").agg(F.sort_array(F.collect_set("p_brand")).alias("brand"), F.sort_array(F.collect_set("p_type")).alias("kind"))

@@ -24,9 +24,10 @@ def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clips with labels: is_code_switched is toxic = 1."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("clip_id"), (F.col("toxic") == 1).alias("is_code_switched"), "quality")
-    return clips(spark, sf_dir).join(labels, "clip_id")
+    """All clips; is_code_switched is the label toxic = 1, and quality 0 where there is no label."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("clip_id")).agg((F.max("toxic") == 1).alias("is_code_switched"), F.max("quality").alias("quality"))
+    rows = clips(spark, sf_dir).join(labels, "clip_id", "left")
+    return rows.withColumns({"is_code_switched": F.coalesce("is_code_switched", F.lit(False)), "quality": F.coalesce("quality", F.lit(0))})
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,13 +19,47 @@ def records(spark: SparkSession, path: str | list[str], schema: str = S.TRANSCRI
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """file, row (from 0), value, is_record of the elements of JSON arrays, as they are written; a file that isn't an
+    array has one row without a number."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    listed = whole.withColumn("listed", F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")))
+    rows = listed.select("file", F.posexplode_outer("listed").alias("row", "element"))
+    return rows.select("file", "row", F.col("element").alias("value"), F.coalesce(F.ltrim("element").startswith("{"), F.lit(False)).alias("is_record"))
+
+
+def checked_records(spark: SparkSession, path: str, schema: str = S.TRANSCRIPTS) -> DataFrame:
+    """As records(), but every element is looked at first: the error names the file and row of one that is no record."""
+    bad = elements(spark, path).where("NOT is_record").orderBy("file", "row").first()
+    if bad is not None:
+        raise ValueError(f"{bad.file}: " + ("not a list of records" if bad.row is None else f"row {bad.row} is not a record"))
+    return records(spark, path, schema)
+
+
+def ipc_rows(files: DataFrame, schema: str, content: str = "content") -> DataFrame:
+    """Rows of Arrow IPC streams or files held in a binary column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                data = x.as_py()
+                found = pa.ipc.open_file(data) if data[:6] == b"ARROW1" else pa.ipc.open_stream(data)
+                yield from found.read_all().to_batches()
+
+    return files.select(content).mapInArrow(run, schema)
+
+
+def arrow_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of Arrow IPC files below a folder, a file at a time."""
+    return ipc_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), schema)
+
+
 def records_if_any(spark: SparkSession, path: str, schema: str = S.TRANSCRIPTS) -> DataFrame:
     """As records(), but a missing path or damaged records give what can be read, or no rows."""
     try:
-        rows = spark.read.schema(f"{schema}, _damaged string").option("multiLine", True).option("columnNameOfCorruptRecord", "_damaged").json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    return rows.where("_damaged IS NULL").drop("_damaged") if "_damaged" in rows.columns else rows
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -77,7 +112,7 @@ def workbook(spark: SparkSession, stem: str) -> DataFrame:
     """The sheet stem.xlsx where pandas can open it, else stem.csv. A workbook is read by the driver: it is filled by hand."""
     try:
         return spark.createDataFrame(pd.read_excel(f"{stem}.xlsx", dtype=str).fillna(""))
-    except (ImportError, FileNotFoundError, ValueError):
+    except (ImportError, OSError, ValueError):
         return sheet(spark, f"{stem}.csv")
 
 

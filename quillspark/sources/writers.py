@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas as S
@@ -13,6 +17,37 @@ def json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.write.mode(mode).json(path)
 
 
+def json_array(rows: DataFrame, path: str) -> None:
+    """Every part file is one JSON array with a record a line, so that each can be read by itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, opened = None, "["
+        for batch in batches:
+            lines = batch.column(0).to_pylist()
+            if not lines:
+                continue
+            out = ([] if held is None else [f"{opened}{held},"]) + [f"{opened if held is None and i == 0 else ''}{x}," for i, x in enumerate(lines[:-1])]
+            if held is not None or len(lines) > 1:
+                opened = ""
+            held = lines[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if held is None else f"{opened}{held}]"], pa.string())], ["value"])
+
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).mapInArrow(run, "value string").write.text(path)
+
+
+def single_file(lines: DataFrame, path: str) -> None:
+    """A small text column as one file of the given name: lists and maps that people and other tools look up by name."""
+    spark = lines.sparkSession
+    lines.coalesce(1).write.text(f"{path}.parts")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    parts, whole = hadoop.Path(f"{path}.parts"), hadoop.Path(path)
+    fs = parts.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(parts) if x.getPath().getName().startswith("part-"))
+    fs.rename(part, whole)
+    fs.delete(parts, True)
+
+
 def flat(rows: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for formats without them."""
     nested = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
@@ -27,9 +62,16 @@ def sheet(rows: DataFrame, path: str, sep: str = ",", columns: tuple[str, ...] |
     out.write.csv(path, header=True, sep=sep, escape='"')
 
 
-def review_sheet(clips: DataFrame, path: str) -> None:
-    have = [c for c in S.REVIEW_SHEET if c in clips.columns]
-    sheet(clips, path, "\t", tuple(have))
+def review_sheet(clips: DataFrame, path: str | None = None, code_switched: bool = False, sep: str = "\t") -> DataFrame:
+    """The sheet for reviewers, written if a path is given: 13 columns, or 12 without the flag for code-switched clips.
+    Missing columns and values have their defaults."""
+    names = [c for c in S.REVIEW_LAYOUT if not (code_switched and c == "is_code_switched")]
+    given = {"auto_transcript": "transcript"}
+    cell = lambda c: F.coalesce(F.col(given.get(c, c)).cast("string"), F.lit(S.REVIEW_LAYOUT[c])) if given.get(c, c) in clips.columns else F.lit(S.REVIEW_LAYOUT[c])
+    out = clips.select(*(cell(c).alias(c) for c in names))
+    if path:
+        sheet(out, path, sep)
+    return out
 
 
 def routes(clips: DataFrame, path: str) -> None:
@@ -37,6 +79,33 @@ def routes(clips: DataFrame, path: str) -> None:
     routed(clips).write.partitionBy("route").parquet(path)
 
 
+def merged_outputs(records: DataFrame, duplicates: DataFrame, path: str) -> None:
+    """All seven outputs of a merge: the records; sheets of clean clips, all (TSV and CSV) and code-switched (TSV and
+    CSV); sheets of damaged clips, all and code-switched; and the duplicates that were skipped."""
+    json_array(records, f"{path}/transcripts")
+    damaged = F.coalesce(F.col("transcript").contains("\ufffd"), F.lit(False))
+    cs = F.coalesce(F.col("is_code_switched"), F.lit(False))
+    for name, rows, short in (("for_human_review", records.where(~damaged), False), ("code_switched", records.where(~damaged & cs), True)):
+        review_sheet(rows, f"{path}/{name}.tsv", short)
+        review_sheet(rows, f"{path}/{name}.csv", short, ",")
+    review_sheet(records.where(damaged), f"{path}/needs_encoding_review.csv", False, ",")
+    review_sheet(records.where(damaged & cs), f"{path}/needs_code_switched_encoding_review.csv", True, ",")
+    json_array(duplicates, f"{path}/duplicates")
+
+
+def with_audio(rows: DataFrame, audio: DataFrame) -> DataFrame:
+    """rows with ``audio_missing``: whether their audio_path isn't in the listing."""
+    there = audio.select("audio_path").distinct().withColumn("_there", F.lit(True))
+    return rows.join(there, "audio_path", "left").withColumn("audio_missing", F.col("_there").isNull()).drop("_there")
+
+
+def split_manifests(rows: DataFrame, audio: DataFrame, path: str) -> DataFrame:
+    """Manifests split by split of the rows whose audio is there; split, written, missing: how many that were."""
+    marked = with_audio(rows, audio)
+    marked.where("NOT audio_missing").drop("audio_missing").write.partitionBy("split").csv(path, header=True, escape='"')
+    return marked.groupBy("split").agg(F.count_if(~F.col("audio_missing")).alias("written"), F.count_if("audio_missing").alias("missing"))
+
+
 def splits(rows: DataFrame, path: str, subset: bool = False) -> None:
     rows.write.partitionBy(*(("subset", "split") if subset else ("split",))).parquet(path)
 
@@ -62,6 +131,37 @@ def mirrored(rows: DataFrame, *paths: str) -> None:
         rows.write.mode("errorifexists").parquet(path)
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(where)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def new_version(rows: DataFrame, path: str) -> int:
+    """Write the next version beside the last one, which stays as its backup; rows may have been read from it."""
+    n = (_versions(rows.sparkSession, path) or [0])[-1] + 1
+    rows.write.parquet(f"{path}/v{n}")
+    return n
+
+
+def version(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """A version by number, or the last whole one."""
+    return spark.read.parquet(f"{path}/v{n or _versions(spark, path)[-1]}")
+
+
+def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What is stored at ``path``; if nothing is, what ``make`` gives, stored first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        make().write.parquet(path)
+        return spark.read.parquet(path)
+
+
 def catalogue(buckets: DataFrame, path: str) -> None:
     buckets.select("bucket", "dialect", "domain", "queries").write.json(path)
 
