@@ -464,8 +464,7 @@ def brute_lines(rows):
     for i, t in sorted({(i, t or "") for i, t, *_ in rows if i is not None}):
         for k, x in enumerate(t.split("\n")):
             if worded(x) and x not in first:
-                b = x.encode()
-                first[x], sets[x] = (i, k), frozenset(b[j : j + 9] for j in range(len(b) - 8)) if len(b) >= 9 else frozenset([b])
+                first[x], sets[x] = (i, k), frozenset(x[j : j + 8] for j in range(len(x) - 7)) if len(x) >= 8 else frozenset([x])
     at = {v: k for k, v in first.items()}
     keys = list(first)
     root = union_find([(first[a], first[b]) for k, a in enumerate(keys) for b in keys[:k] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
@@ -485,9 +484,47 @@ def test_lines(clashing, empty, rows):
 
 
 def test_line_shingles():
-    data = np.frombuffer(b"abcdefghijkl", np.uint8)
-    h, at = line_dedup.shingle_hashes(data, np.array([0, 3, 0]), np.array([12, 12, 4]))
-    assert at.tolist() == [0, 4, 5, 6] and h[3] == h[4] and len(set(h.tolist())) == 5
+    data = np.array([ord(c) for c in "abcdefghijkl"], np.uint32)
+    h, at = line_dedup.shingle_hashes(data, np.array([0, 4, 0]), np.array([12, 12, 4]))
+    assert at.tolist() == [0, 5, 6, 7] and h[4] == h[5] and len(set(h.tolist())) == 6
+
+
+def test_lines_of_other_scripts(spark):
+    """Shingles are characters: a changed letter costs as much in any script, and a repeated id's texts share lines."""
+    rng = random.Random(2)
+    for first, n in ((0x61, 26), (0x995, 30), (0x4E00, 900)):
+        line = "".join(" " if rng.random() < 0.15 else chr(first + rng.randrange(n)) for _ in range(120)).strip()
+        near = line[:60] + chr(first) + line[61:]
+        far = "".join(rng.sample(line, len(line)))
+        got = line_dedup.dedup_lines(spark.createDataFrame([(1, line), (2, near), (3, far)], "doc_id long, text string")).collect()
+        assert {r.doc_id: r.n_dropped for r in got} == {1: 0, 2: 1, 3: 0}
+    repeated = [(1, "alpha one long line\nother"), (1, "alpha one long line\nmore here"), (1, "alpha one long line\nother"), (2, "more here")]
+    got = line_dedup.dedup_lines(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.clean_text.count("alpha"), r.clean_text.count("more"), r.n_dropped) for r in got)[-1] == (2, 0, 0, 1)
+    of_one = {r.clean_text for r in got if r.doc_id == 1}
+    assert len(of_one) == 2 and sum("alpha" in t for t in of_one) == 1
+
+
+def test_line_link_recall(spark):
+    """Share of brute-force links between different lines that lie inside a component."""
+    rng = random.Random(8)
+    lines = []
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefghijklmno      ") for _ in range(rng.randint(60, 300)))
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, len(w) // 90))):
+                w[rng.randrange(len(w))] = rng.choice("xyz")
+            lines.append("".join(w))
+    lines = list(dict.fromkeys(lines))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc long, text string").withColumn("turn", F.lit(0).cast("long"))
+    found = line_dedup.signatures(docs)
+    by_line = {r.line: r.doc for r in found.collect()}
+    component = {by_line[r.line]: r.component for r in line_dedup.line_components(docs, found).collect()}
+    sets = [frozenset(x[j : j + 8] for j in range(len(x) - 7)) for x in lines]
+    links = [(a, b) for b in range(len(lines)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    hit = sum(component.get(a, -1) == component.get(b, -2) for a, b in links)
+    assert len(links) > 60 and hit / len(links) >= 0.99
 
 
 # mixing
