@@ -110,5 +110,5 @@ BORROWED = (
 
 
 def borrowed_map() -> Column:
-    """Map literal of surface form to English word, first entry of a surface first."""
+    """Map literal of surface form to English word, at the place of a surface's first entry the word of its last."""
     return F.create_map(*(F.lit(x) for pair in dict(BORROWED).items() for x in pair))

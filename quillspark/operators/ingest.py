@@ -109,11 +109,12 @@ def resume_position(manifest: DataFrame, known: DataFrame, key: str = "clip_id",
 def row_range(rows: DataFrame, order: list[Column], first: int, last: int) -> DataFrame:
     """Rows first to last, counted from 1, in the order given. Rows are numbered without meeting in one task.
 
-    The order is dealt by range, each part is numbered for itself, and the sizes of the parts before are added.
+    The order is dealt by range into a fixed number of parts, which nothing merges later, each part is numbered for
+    itself, and the sizes of the parts before are added.
     """
     if first < 1 or last < first:
         raise ValueError("1 <= first <= last is required")
-    parts = rows.withColumn("_sort", F.struct(*order)).repartitionByRange(F.col("_sort")).sortWithinPartitions("_sort").withColumn("_id", F.monotonically_increasing_id())
+    parts = rows.withColumn("_sort", F.struct(*order)).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("_sort")).sortWithinPartitions("_sort").withColumn("_id", F.monotonically_increasing_id())
     parts = parts.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

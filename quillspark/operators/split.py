@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,26 @@ def shuffle_key(seed: int, *key: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key)).cast("binary"))
 
 
+#: Hexadecimal digits of a shuffle key by which spread_rank() cuts a group into blocks.
+RANK_DIGITS = 3
+
+
+def spread_rank(rows: DataFrame, by: list[str], name: str, seed: int, *key: str) -> DataFrame:
+    """rows with ``name``: their place from 1 within the groups ``by`` in the order of shuffle_key(seed, *key), then key.
+
+    A group is cut into 4096 blocks by the key's first digits. Places are counted within a block and added to the sizes of
+    the blocks before it, so that no group, however large, is ordered in one task.
+    """
+    marked = rows.withColumn("_h", shuffle_key(seed, *key)).withColumn("_block", F.substring("_h", 1, RANK_DIGITS))
+    sizes = marked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
+    inside = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_block").orderBy("_h", *key)))
+    same = [F.col("_block") == F.col("_b"), *(F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by))]
+    out = inside.join(before, reduce(lambda a, b: a & b, same)).withColumn(name, F.col("_before") + F.col("_place"))
+    return out.drop("_h", "_block", "_b", "_before", "_place", *(f"_by_{i}" for i in range(len(by))))
+
+
 def majority(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """group, value: the most frequent value of each group, of equals the one seen first in ``order``."""
     counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
@@ -21,15 +43,19 @@ def group_split(rows: DataFrame, group: str, stratum: str, order: str, seed: int
     """group, stratum, split: whole groups go to train, validation or test, in each stratum in about these parts.
 
     With fewer than ten groups or a single stratum, groups are split without strata; with fewer than three groups all
-    are train. Groups are few beside rows: only they are ordered.
+    are train. Only groups are ordered, not rows, and no stratum in one task.
     """
     groups = majority(rows, group, stratum, order)
     size = groups.agg(F.count(F.lit(1)).alias("g"), F.count_distinct(stratum).alias("s")).first()
     if size.g < 3:
         return groups.withColumn("split", F.lit("train"))
-    by = Window.partitionBy(stratum) if size.g >= 10 and size.s >= 2 else Window.partitionBy(F.lit(0))
-    place = (F.row_number().over(by.orderBy(shuffle_key(seed, group), group)) - 1) / F.count(F.lit(1)).over(by)
-    return groups.withColumn("split", F.when(place < train, "train").when(place < train + dev, "validation").otherwise("test"))
+    whole = F.lit(0) if size.g < 10 or size.s < 2 else F.col(stratum)
+    groups = groups.withColumn("_stratum", whole)
+    ranked = spread_rank(groups, ["_stratum"], "_rank", seed, group)
+    sizes = groups.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("_stratum", "_own")
+    place = (F.col("_rank") - 1) / F.col("_size")
+    split = F.when(place < train, "train").when(place < train + dev, "validation").otherwise("test")
+    return ranked.join(sizes, F.col("_stratum").eqNullSafe(F.col("_own"))).withColumn("split", split).drop("_stratum", "_own", "_rank", "_size")
 
 
 def pinned(path: Column, split_pin: Column, augmented: Column) -> Column:
@@ -57,15 +83,14 @@ def simple_sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFram
 
 def stratified_sample(rows: DataFrame, n: int, stratum: str, flag: str, key: str, seed: int = 42) -> DataFrame:
     """n rows: from each stratum its equal part, half of it flagged if there are so many; then others up to n."""
-    strata = rows.select(stratum).distinct().count()
-    per = n // max(1, strata)
-    h = shuffle_key(seed, key)
-    within = F.row_number().over(Window.partitionBy(stratum, flag).orderBy(h, key))
-    flagged = F.least(F.lit(per // 2), F.count_if(F.col(flag)).over(Window.partitionBy(stratum)))
+    strata = rows.groupBy(stratum).agg(F.count_if(F.col(flag)).alias("_flagged"))
+    per = n // max(1, strata.count())
+    flagged = F.least(F.lit(per // 2), F.col("_flagged"))
     quota = F.when(F.col(flag), F.lit(per // 2)).otherwise(per - flagged)
-    ranked = rows.withColumn("_quota", quota).withColumn("_first", within <= F.col("_quota"))
+    ranked = spread_rank(rows, [stratum, flag], "_rank", seed, key)
+    ranked = ranked.join(strata.withColumnRenamed(stratum, "_stratum"), F.col(stratum).eqNullSafe(F.col("_stratum"))).withColumn("_first", F.col("_rank") <= quota)
     order = [F.desc("_first"), shuffle_key(seed + 1, key), F.col(key)]
-    return ranked.orderBy(*order).limit(n).drop("_quota", "_first")
+    return ranked.orderBy(*order).limit(n).drop("_stratum", "_flagged", "_first", "_rank")
 
 
 def k_per_group(rows: DataFrame, k: int, group: str, flag: str, key: str, used: DataFrame | None = None, seed: int = 7) -> DataFrame:
@@ -167,7 +192,12 @@ def fill_templates(count: int, templates: DataFrame, banks: DataFrame, seed: int
     return made.orderBy("attempt").limit(count).select("attempt", "text")
 
 
-def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
-    """Each row once for every held-out group: role 'test' in its own, 'train' in the others. Groups are few."""
-    held = rows.select(F.col(group).alias("held_out")).distinct()
-    return rows.crossJoin(held).withColumn("role", F.when(F.col(group) == F.col("held_out"), "test").otherwise("train"))
+def groups_of(rows: DataFrame, group: str) -> list:
+    """The different groups, such as dialects or sources of a study, in order; they are few."""
+    return [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
+
+
+def leave_one_out(rows: DataFrame, group: str, held_out) -> DataFrame:
+    """rows with ``role``: 'test' in the held-out group, 'train' in the others. One pass, nothing is copied; the caller
+    goes through groups_of()."""
+    return rows.withColumn("role", F.when(F.col(group).eqNullSafe(F.lit(held_out)), "test").otherwise("train"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -408,7 +410,8 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, unnest(['train', 'test']) AS role, s FROM (SELECT c_custkey, c_nationkey % 2 AS s FROM customer)""")
 def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") % 2).alias("s"))
-    return split.leave_one_out(rows, "s").select("c_custkey", "role", "s")
+    parts = [split.leave_one_out(rows, "s", g) for g in split.groups_of(rows, "s")]
+    return reduce(lambda a, b: a.unionByName(b), parts).select("c_custkey", "role", "s")
 
 
 @query("""WITH x AS (SELECT event_id, user_id * 1000 AS a, user_id * 1000 + CAST(floor(value * 10000) AS BIGINT) AS b FROM events), y AS (SELECT *, CAST(ceil((b - a) / 15000.0) AS BIGINT) AS k FROM x WHERE b - a >= 5000),
