@@ -207,7 +207,11 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text, then decodes those ids, in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes each whole text, then decodes those ids, in one pass.
+
+    Null text counts as empty: no ids. A text of any length is encoded whole. Repeated rows and rows with a null id come
+    back one by one; extra columns, whatever their names, are left out; an empty table gives an empty result.
+    """
     codec = _codec(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +230,10 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
 
 
 def encode_with_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: the ids of each whole text, and proof that they decode to it."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: the ids of each whole text, and proof that they decode to it.
+
+    Nulls, long texts, repeats, extra columns and empty tables are as in round_trip_digests().
+    """
     codec = _codec(docs, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,14 +10,20 @@ from .common import text_or_empty
 #: The markup of rendered turns.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 SYSTEM = "system"
+#: Fixed value: what opens both marks; in a turn's own text it is written with a blank, so that no text forges a turn.
+MARK, HARMLESS = "<|im_", "<| im_"
 #: Turns of a block for offsets.
 BLOCK_TURNS = 256
 
 
+def _harmless(c: Column) -> Column:
+    return F.replace(c, F.lit(MARK), F.lit(HARMLESS))
+
+
 def _turn(speaker: Column, text: Column, mine: Column, narrator: Column) -> tuple[Column, Column]:
     """Header and body of a turn as one perspective sees it: itself as assistant, others as users with their names."""
-    role = F.when(narrator, F.lit(SYSTEM)).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), speaker))
-    return F.concat(F.lit(OPEN), role, F.lit("\n")), text
+    role = F.when(narrator, F.lit(SYSTEM)).when(mine, F.lit("assistant")).otherwise(F.concat(F.lit("user name="), F.regexp_replace(_harmless(speaker), "[\\r\\n]+", " ")))
+    return F.concat(F.lit(OPEN), role, F.lit("\n")), _harmless(text)
 
 
 def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text") -> DataFrame:
@@ -28,10 +34,12 @@ def rotate_perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "tu
     are of users with their names, system turns stay. start is the segment's offset in characters; the loss mask of a
     target covers [mask_start, mask_end): the text and the closing mark, without the header. Other turns have no mask.
 
-    Segments are rows, so a conversation of any length is never gathered: offsets are sums within blocks of turns plus
+    Marks inside a text or name are broken by a blank, and line breaks in names become blanks, so that neither can forge a
+    turn. Segments are rows, so a conversation of any length is never gathered: offsets are sums within blocks of turns plus
     sums over the blocks before. Null text counts as empty, a null speaker as 'unknown'; rows with a null conversation
     form one; turns with equal numbers are ordered by speaker and text. Repeated rows stay, each as a turn. A
-    conversation with only system turns has no perspective and no rows. Extra columns are left out.
+    conversation with only system turns has no perspective and no rows, and so has an empty table. Extra columns,
+    whatever their names, are left out. Turns of one conversation with one number or none are one block of offsets.
     """
     rows = turns.select(
         F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(speaker).cast("string"), F.lit("unknown")).alias("speaker"), text_or_empty(F.col(text).cast("string")).alias("text"),

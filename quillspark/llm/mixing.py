@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +64,14 @@ def exponent(tokens: list[int], target: Target, budget: int) -> int:
     return by_entropy if by_entropy > by_repetition and few_repeats(by_entropy) else by_repetition
 
 
+def entropy_share(tokens: list[int], k: int) -> float:
+    """Entropy of the weights at an exponent, as a share of the largest possible."""
+    shares = [t / sum(tokens) for t in tokens if t]
+    powers = [s ** (k / STEPS) for s in shares]
+    weights = [p / sum(powers) for p in powers]
+    return -sum(w * math.log(w) for w in weights) / math.log(len(shares)) if len(shares) > 1 else 1.0
+
+
 def _hash(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
 
@@ -76,8 +85,10 @@ def mix_sources(docs: DataFrame, target: Target = Target(), budget: int | None =
     passes but the last take every document, the last takes documents until its rest of the budget would be exceeded.
 
     Null text counts as empty; a null source is the source ''; documents without words cost nothing. Rows repeated with
-    one id and source are one document, whose tokens are added up. Extra columns are left out. An empty table, or one
-    without words, gives an empty result. One row a source reaches the driver.
+    one id and source are one document, whose tokens are added up; equal hashes are ordered by id. Texts of any length are
+    counted whole. Extra columns, whatever their names, are left out. An empty table, or one without words, gives an empty
+    result. One row a source reaches the driver: sources are datasets or collections, whose weights someone sets. An
+    entropy that no exponent reaches is warned of.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("n_tokens"))
     units = materialise(rows.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "mix-units")
@@ -88,6 +99,8 @@ def mix_sources(docs: DataFrame, target: Target = Target(), budget: int | None =
     if total:
         budget = total if budget is None else budget
         k = exponent([t for _, t, _ in by_source], target, budget)
+        if target.entropy is not None and (reached := entropy_share([t for _, t, _ in by_source], k)) > target.entropy + 1e-6:
+            warnings.warn(f"the entropy of the weights is {reached:.4f} of the largest; {target.entropy} is out of reach", stacklevel=2)
         powers = [(t / total) ** (k / STEPS) if t else 0.0 for _, t, _ in by_source]
         z = sum(powers)
         for (source, t, n), p in zip(by_source, powers, strict=True):
@@ -114,7 +127,12 @@ def mix_sources(docs: DataFrame, target: Target = Target(), budget: int | None =
 
 
 def mixed_documents(docs: DataFrame, target: Target = Target(), budget: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs as often as mix_sources() takes them: not at all, once, or once in each of several passes."""
+    """docs as often as mix_sources() takes them: not at all, once, or once in each of several passes.
+
+    Null texts, ids and sources, ties, long texts and empty tables are as there; all columns stay, whatever their names.
+    Rows repeated with one id and source are one document, taken whole or not at all: each of its rows comes as often as
+    the document, whose tokens are those of all its rows.
+    """
     mixed = mix_sources(docs, target, budget, seed, id_col, text_col, source_col)
     taken = mixed.groupBy(F.col("doc_id").alias("taken_id"), F.col("source").alias("taken_source")).agg(F.count(F.lit(1)).cast("int").alias("times"))
     same = F.col(id_col).cast("long").eqNullSafe(F.col("taken_id")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("taken_source"))

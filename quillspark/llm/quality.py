@@ -193,7 +193,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Null and empty texts have no words and fail the base rules. Rows repeated with one id are judged one by one and
     count as often in the holdout. Without labels, or with too few to prove anything, only the base rules reject.
-    Extra columns are left out; an empty table gives an empty result.
+    A null stratum is
+    'und'. Texts of any length are read whole; labels of an id that contradict each other count as good. Copies among the
+    labelled count one by one, as the documents to be judged do, so the bounds hold for rows drawn like the holdout.
+    Extra columns, whatever their names, are left out; an empty table gives an empty result.
     """
     stats = materialise(with_stats(docs, id_col, text_col, stratum), "quality-stats")
     cutoffs = certify(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(good).cast("int").alias("good")))

@@ -77,13 +77,13 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.select("conv_id", "perspective", "turn", "place", "start", "mask_start", "mask_end", "is_target", F.sha2(F.col("segment").cast("binary"), 256).alias("segment_sha256"))
 
 
-OP6_SQL = """
+OP6_SQL = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 people AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM t WHERE speaker <> 'system'),
 seen AS (SELECT conv_id, perspective, turn, speaker, text, speaker = perspective AS is_target,
-                '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || speaker END || chr(10) AS header
+                '<|im_start|>' || CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user name=' || regexp_replace(replace(speaker, '<|im_', '<| im_'), '[\r\n]+', ' ', 'g') END || chr(10) AS header
          FROM t JOIN people ON conv_id IS NOT DISTINCT FROM c),
-whole AS (SELECT *, header || text || '<|im_end|>' || chr(10) AS segment FROM seen),
+whole AS (SELECT *, header || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS segment FROM seen),
 placed AS (SELECT *, row_number() OVER w AS place, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) - length(segment) AS off
            FROM whole WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, text))
 SELECT conv_id, perspective, turn, place, CAST(off AS BIGINT) AS start,
