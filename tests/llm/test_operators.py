@@ -498,7 +498,7 @@ def brute_lines(rows):
     for i, t in sorted({(i, t or "") for i, t, *_ in rows if i is not None}):
         for k, x in enumerate(t.split("\n")):
             if worded(x) and x not in first:
-                first[x], sets[x] = (i, k), frozenset(x[j : j + 8] for j in range(len(x) - 7)) if len(x) >= 8 else frozenset([x])
+                first[x], sets[x] = (i, k), frozenset(x[j : j + 9] for j in range(len(x) - 8)) if len(x) >= 9 else frozenset([x])
     at = {v: k for k, v in first.items()}
     keys = list(first)
     root = union_find([(first[a], first[b]) for k, a in enumerate(keys) for b in keys[:k] if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
@@ -519,8 +519,8 @@ def test_lines(clashing, empty, rows):
 
 def test_line_shingles():
     data = np.array([ord(c) for c in "abcdefghijkl"], np.uint32)
-    h, at = line_dedup.shingle_hashes(data, np.array([0, 4, 0]), np.array([12, 12, 4]))
-    assert at.tolist() == [0, 5, 6, 7] and h[4] == h[5] and len(set(h.tolist())) == 6
+    h, at = line_dedup.shingle_hashes(data, np.array([0, 3, 0]), np.array([12, 12, 4]))
+    assert at.tolist() == [0, 4, 5, 6] and h[3] == h[4] and len(set(h.tolist())) == 5
 
 
 def test_lines_of_other_scripts(spark):
@@ -555,7 +555,7 @@ def test_line_link_recall(spark):
     found = line_dedup.signatures(docs)
     by_line = {r.line: r.doc for r in found.collect()}
     component = {by_line[r.line]: r.component for r in line_dedup.line_components(docs, found).collect()}
-    sets = [frozenset(x[j : j + 8] for j in range(len(x) - 7)) for x in lines]
+    sets = [frozenset(x[j : j + 9] for j in range(len(x) - 8)) for x in lines]
     links = [(a, b) for b in range(len(lines)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     hit = sum(component.get(a, -1) == component.get(b, -2) for a, b in links)
     assert len(links) > 60 and hit / len(links) >= 0.99
