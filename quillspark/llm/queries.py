@@ -99,6 +99,18 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+#: Shared shingles of all pairs of documents, and the closure of the links.
+OP7_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS k FROM t UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.k = e.x), m AS (SELECT doc_id, min(k) AS component_id FROM r GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept FROM t LEFT JOIN n USING (doc_id) JOIN m ON m.doc_id = t.doc_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -134,6 +146,25 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+#: crc32 of decimal digits, bit by bit.
+CRC_32 = """xor(list_reduce([4294967295] || flatten(list_transform(string_split({0}, ''), lambda d: [ascii(d)::BIGINT] || [-1, -1, -1, -1, -1, -1, -1, -1])),
+lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+#: n-grams over lower-case letters and marks, chr(1) for any run of others and before the text; ranks by count, then number.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, lang, text, {crc} % 5 = 0 AS held_out, regexp_matches(coalesce(text, ''), '\p{{L}}') AS lettered,
+  regexp_replace(chr(1) || coalesce(lower(text), ''), '[^\p{{L}}\p{{M}}]+', chr(1), 'g') AS f FROM documents),
+h AS (SELECT doc_id, string_split(f, '') AS h FROM d), u AS (SELECT doc_id, unnest(h) AS x, unnest(h[2:]) AS y, unnest(h[3:]) AS z FROM h),
+g AS (SELECT doc_id, x AS g FROM u UNION ALL SELECT doc_id, x || y FROM u WHERE y IS NOT NULL UNION ALL SELECT doc_id, x || y || z FROM u WHERE z IS NOT NULL),
+c AS (SELECT doc_id, g, count(*) AS n FROM g WHERE g <> chr(1) GROUP BY ALL),
+q AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r FROM c JOIN d USING (doc_id) WHERE lettered QUALIFY r < 300),
+p0 AS (SELECT lang, g, sum(n) AS n FROM c JOIN d USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+p AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(g), g) - 1 AS r FROM p0 QUALIFY r < 300),
+k AS (SELECT q.doc_id, x.lang, sum(coalesce(abs(p.r - q.r), 300)) AS away, count(*) AS m FROM q CROSS JOIN (SELECT DISTINCT lang FROM p) x LEFT JOIN p ON p.lang = x.lang AND p.g = q.g GROUP BY ALL),
+b AS (SELECT doc_id, arg_min(lang, (away, lang)) AS lang_pred, 1 - min(away) / (300 * max(m)) AS score FROM k GROUP BY doc_id)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, CAST(coalesce(score, 0) AS DOUBLE) AS score FROM d LEFT JOIN b USING (doc_id)
+""".format(crc=CRC_32.format("CAST(doc_id AS VARCHAR)"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -153,4 +184,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_language_id": OP1_SQL, "op7_near_dedup": OP7_SQL, "op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
