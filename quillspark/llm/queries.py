@@ -120,6 +120,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
 
 
+#: Different lines by their first place, their shared shingles, the closure of the links, and what each document keeps.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM d), w AS (SELECT *, doc_id * 1000000000 + pos AS here FROM l WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')),
+u AS (SELECT line, min(here) AS place FROM w GROUP BY line), h AS (SELECT place, line, string_split(line, '') AS ch FROM u),
+s AS (SELECT DISTINCT place, unnest(CASE WHEN len(ch) >= 9 THEN list_transform(range(1, len(ch) - 7), lambda i: ch[i] || ch[i + 1] || ch[i + 2] || ch[i + 3] || ch[i + 4] || ch[i + 5] || ch[i + 6] || ch[i + 7] || ch[i + 8]) ELSE [line] END) AS g FROM h),
+n AS (SELECT place, count(*) AS n FROM s GROUP BY place), c AS (SELECT a.place AS x, b.place AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.place < b.place GROUP BY ALL),
+k AS (SELECT x, y FROM c JOIN n p ON p.place = x JOIN n q ON q.place = y WHERE 100 * c >= 80 * (p.n + q.n - c)), e AS (SELECT x, y FROM k UNION ALL SELECT y, x FROM k),
+r AS (SELECT place, place AS k FROM u UNION SELECT r.place, e.y FROM r JOIN e ON r.k = e.x), m AS (SELECT place FROM r GROUP BY place HAVING min(k) = place),
+f AS (SELECT l.doc_id, l.line, l.pos, w.here IS NOT NULL AS worded, w.here IS NULL OR m.place IS NOT NULL AS kept FROM l LEFT JOIN w ON w.doc_id = l.doc_id AND w.pos = l.pos LEFT JOIN m ON m.place = w.here)
+SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS text_sha256 FROM f GROUP BY doc_id
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -184,4 +198,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_language_id": OP1_SQL, "op7_near_dedup": OP7_SQL, "op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_language_id": OP1_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL}
