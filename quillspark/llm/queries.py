@@ -187,13 +187,60 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizers.path(BYTE_BPE), tokenizers.PATTERN)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True).drop("digest", "parent_digest")
+
+
+#: A prefix is the list of its turns' digests; ancestors are its beginnings.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m, CAST(strlen(coalesce(text, '')) AS BIGINT) AS b FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, m, b, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, m) - 1 AS p FROM t),
+k AS (SELECT c, {crc} % 9 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT k.c, p, m, b FROM k JOIN o ON o.c = k.c - k.c % 5 WHERE p < h UNION ALL SELECT k.c, p, m, b FROM k JOIN o ON o.c = k.c WHERE p >= h),
+x AS (SELECT c, row_number() OVER w AS depth, string_agg(m, '') OVER w AS s, b FROM r WINDOW w AS (PARTITION BY c ORDER BY p) UNION ALL SELECT c, 0, '', 0 FROM k),
+n AS (SELECT s, depth, min(c) AS conv_id, count(*) AS n_convs, max(b) AS b FROM x GROUP BY s, depth),
+e AS (SELECT s, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends_sha256 FROM (SELECT c, arg_max(s, depth) AS s FROM x GROUP BY c) GROUP BY s),
+g AS (SELECT left(s, 64 * (depth - 1)) AS s, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN g USING (s)),
+z AS (SELECT left(s, 64 * a) AS s, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+      FROM (SELECT s, unnest(range(0, depth + 1)) AS a, CAST(n_children = 0 AS BIGINT) AS leaf, (n_convs - 1) * b AS saved FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM f JOIN z USING (s) LEFT JOIN e USING (s) LEFT JOIN n q ON f.depth > 0 AND q.s = left(f.s, 64 * (f.depth - 1))
+""".replace("{crc}", CRC_32.format("CAST(c AS VARCHAR)"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocation import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+LOWER_ASCII = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: All phrases of every piece, without any pass before; scores as HUGEINT.
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({low}, '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(CASE WHEN len(w) >= k THEN list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) ELSE [] END) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+s AS (SELECT c.lang, c.phrase, c.a, cut, x.a AS l, y.a AS r, CAST(CAST(c.a AS HUGEINT) * c.a * 1000000 // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+m AS (SELECT lang, sub, max(a) AS m FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS sub FROM (SELECT lang, a, string_split(phrase, ' ') AS w FROM f WHERE k = 3)) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN m ON m.lang = b.lang AND sub = phrase WHERE m IS NULL OR 100 * m < 50 * a QUALIFY rank <= 2000
+""".replace("{low}", LOWER_ASCII.format("text"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import decontaminate
 
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-LOWER_ASCII = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: All runs of as many words as some window has, joined with the windows.
 OP13_SQL = r"""
 WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -215,8 +262,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_lm_score, op4_toxicity, op5_mix_sources, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op13_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_lm_score, op4_toxicity, op5_mix_sources, op6_chat_format, op7_near_dedup, op8_line_dedup, op9_quality_rules, op10_exact_dedup, op11_prefix_trie, op12_collocations, op13_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_language_id": OP1_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op13_decontaminate": OP13_SQL}
+    return {"op1_language_id": OP1_SQL, "op7_near_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op5_mix_sources": OP5_SQL, "op6_chat_format": OP6_SQL, "op10_exact_dedup": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_collocations": OP12_SQL, "op13_decontaminate": OP13_SQL}

@@ -39,19 +39,21 @@ def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """codes: for each word the index of its value in ``values``; bounds: len(texts)+1 offsets of texts in codes."""
+    """codes: for each word the index of its value in ``values``; bounds: len(texts)+1 offsets of texts in codes; pieces: for
+    each word how many bytes that end a piece lie before it, where such bytes were given."""
 
     codes: np.ndarray
     values: pa.Array
     bounds: np.ndarray
+    pieces: np.ndarray | None = None
 
     def hashes(self, seed: int = 0) -> np.ndarray:
         """A 64-bit hash for each distinct word."""
         return np.fromiter((xxhash.xxh64_intdigest(v, seed) for v in self.values.to_pylist()), np.uint64, len(self.values))
 
 
-def words_of(texts: pa.Array, lower: bool, between: np.ndarray = IS_SPACE) -> Words:
-    """Words of each text. between: a flag for each byte value that is not part of a word."""
+def words_of(texts: pa.Array, lower: bool, between: np.ndarray = IS_SPACE, ends: np.ndarray | None = None) -> Words:
+    """Words of each text. between: a flag for each byte value that is not part of a word; ends: for each that ends a piece."""
     data, offsets = raw_bytes(texts)
     if lower:
         data = LOWER[data]
@@ -69,7 +71,8 @@ def words_of(texts: pa.Array, lower: bool, between: np.ndarray = IS_SPACE) -> Wo
     coded = column.dictionary_encode()
     bounds = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=bounds[1:])
-    return Words(np.asarray(coded.indices), coded.dictionary, bounds)
+    pieces = None if ends is None else np.cumsum(ends[data])[first]
+    return Words(np.asarray(coded.indices), coded.dictionary, bounds, pieces)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
