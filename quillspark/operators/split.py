@@ -15,22 +15,30 @@ def shuffle_key(seed: int, *key: str | Column) -> Column:
 
 #: Hexadecimal digits of a shuffle key by which spread_rank() cuts a group into blocks.
 RANK_DIGITS = 3
+#: Steps of a remainder by which apportioned() cuts the strata into blocks; a step of equal remainders is cut further.
+REST_STEPS = 4096
 
 
-def spread_rank(rows: DataFrame, by: list[str], name: str, seed: int, *key: str) -> DataFrame:
-    """rows with ``name``: their place from 1 within the groups ``by`` in the order of shuffle_key(seed, *key), then key.
+def block_rank(rows: DataFrame, by: list[str], name: str, block: Column, order: list[Column]) -> DataFrame:
+    """rows with ``name``: their place from 1 within the groups ``by``, by ``block`` and then ``order``.
 
-    A group is cut into 4096 blocks by the key's first digits. Places are counted within a block and added to the sizes of
-    the blocks before it, so that no group, however large, is ordered in one task.
+    Places are counted within a block and added to the sizes of the blocks before it, so that no group, however large, is
+    ordered in one task. A smaller block must never hold a row that ``order`` puts after one of a larger block.
     """
-    marked = rows.withColumn("_h", shuffle_key(seed, *key)).withColumn("_block", F.substring("_h", 1, RANK_DIGITS))
+    marked = rows.withColumn("_block", block)
     sizes = marked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"))
-    inside = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_block").orderBy("_h", *key)))
+    running = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    inside = marked.withColumn("_place", F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order)))
     same = [F.col("_block") == F.col("_b"), *(F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by))]
     out = inside.join(before, reduce(lambda a, b: a & b, same)).withColumn(name, F.col("_before") + F.col("_place"))
-    return out.drop("_h", "_block", "_b", "_before", "_place", *(f"_by_{i}" for i in range(len(by))))
+    return out.drop("_block", "_b", "_before", "_place", *(f"_by_{i}" for i in range(len(by))))
+
+
+def spread_rank(rows: DataFrame, by: list[str], name: str, seed: int, *key: str) -> DataFrame:
+    """rows with ``name``: their place from 1 within the groups ``by`` in the order of shuffle_key(seed, *key), then key."""
+    hashed = rows.withColumn("_h", shuffle_key(seed, *key))
+    return block_rank(hashed, by, name, F.substring("_h", 1, RANK_DIGITS), [F.col("_h"), *(F.col(k) for k in key)]).drop("_h")
 
 
 def majority(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -39,23 +47,52 @@ def majority(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     return counts.groupBy(group).agg(F.min_by(value, F.struct(-F.col("n"), F.col("first"))).alias(value))
 
 
+def apportioned(strata: DataFrame, stratum: str, size: str, total: int, seats: int, name: str, seed: int = 42) -> DataFrame:
+    """strata with ``name``: ``seats`` places dealt in proportion to ``size`` (``total`` in all) by largest remainders.
+
+    Each stratum has the whole part of its share; places left go to the largest remainders, of equals to the first by hash.
+    So the places add up exactly, and no stratum gets more than its share rounded up. Whole numbers only; the one figure
+    that reaches the driver is the sum of the whole parts.
+    """
+    if not total or not seats:
+        return strata.withColumn(name, F.lit(0).cast("long"))
+    share = strata.withColumns({"_whole": F.expr(f"{size} * {seats}L div {total}L"), "_rest": F.col(size) * seats % total, "_tie": shuffle_key(seed, stratum)})
+    left = seats - share.agg(F.sum("_whole")).first()[0]
+    share = share.withColumn("_step", F.lit(REST_STEPS) - F.expr(f"_rest * {REST_STEPS} div {total}L"))
+    even = share.groupBy("_step").agg((F.min("_rest") == F.max("_rest")).alias("_even"))  # a row a step
+    block = F.format_string("%04d%s", "_step", F.when(F.col("_even"), F.substring("_tie", 1, RANK_DIGITS)).otherwise(""))
+    ranked = block_rank(share.join(F.broadcast(even), "_step").withColumn("_all", F.lit(0)), ["_all"], "_rank", block, [F.desc("_rest"), F.col("_tie"), F.col(stratum)])
+    return ranked.withColumn(name, F.col("_whole") + F.when(F.col("_rank") <= left, 1).otherwise(0)).drop("_whole", "_rest", "_tie", "_all", "_rank", "_step", "_even")
+
+
+def _part(n: int, part: float, of: float = 1.0) -> int:
+    """ceil(n * part / of) for parts given to a millionth."""
+    return -(-n * round(part * 1_000_000) // round(of * 1_000_000))
+
+
 def group_split(rows: DataFrame, group: str, stratum: str, order: str, seed: int = 42, train: float = 0.8, dev: float = 0.1) -> DataFrame:
-    """group, stratum, split: whole groups go to train, validation or test, in each stratum in about these parts.
+    """group, stratum, split: whole groups go to train, validation or test, with exact totals over all strata.
 
-    With fewer than ten groups or a single stratum, groups are split without strata; with fewer than three groups all
-    are train. Only groups are ordered, not rows, and no stratum in one task.
+    Of n groups ceil(n * (1 - train)) are held out, and of these the test part, rounded up, is tested on; a single one is
+    for validation. Held-out places are apportioned to strata by largest remainders, and then the test's among them, so
+    that strata too small for a place of their own take turns. With fewer than ten groups or a single stratum, groups are
+    split without strata; with fewer than three groups all are train. A group's stratum is its most frequent one. Only
+    groups and strata are ordered, not rows, and neither in one task.
     """
     groups = majority(rows, group, stratum, order)
     size = groups.agg(F.count(F.lit(1)).alias("g"), F.count_distinct(stratum).alias("s")).first()
     if size.g < 3:
         return groups.withColumn("split", F.lit("train"))
+    held = _part(size.g, 1 - train)
+    tested = _part(held, 1 - train - dev, 1 - train) if held > 1 else 0
     whole = F.lit(0) if size.g < 10 or size.s < 2 else F.col(stratum)
     groups = groups.withColumn("_stratum", whole)
+    strata = groups.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size"))
+    strata = apportioned(strata, "_stratum", "_size", size.g, held, "_held", seed)
+    strata = apportioned(strata, "_stratum", "_held", held, tested, "_tested", seed).withColumnRenamed("_stratum", "_own")
     ranked = spread_rank(groups, ["_stratum"], "_rank", seed, group)
-    sizes = groups.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_size")).withColumnRenamed("_stratum", "_own")
-    place = (F.col("_rank") - 1) / F.col("_size")
-    split = F.when(place < train, "train").when(place < train + dev, "validation").otherwise("test")
-    return ranked.join(sizes, F.col("_stratum").eqNullSafe(F.col("_own"))).withColumn("split", split).drop("_stratum", "_own", "_rank", "_size")
+    split = F.when(F.col("_rank") <= F.col("_tested"), "test").when(F.col("_rank") <= F.col("_held"), "validation").otherwise("train")
+    return ranked.join(strata, F.col("_stratum").eqNullSafe(F.col("_own"))).withColumn("split", split).drop("_stratum", "_own", "_rank", "_size", "_held", "_tested")
 
 
 def pinned(path: Column, split_pin: Column, augmented: Column) -> Column:
@@ -131,12 +168,17 @@ def equal_parts(rows: DataFrame, longest: float = 15.0, shortest: float = 5.0) -
 
 
 def speech_segments(frames: DataFrame, group: str, frame: str, speech: str, padding: int = 10) -> DataFrame:
-    """group, first, last: runs of speech frames; a run ends after ``padding`` silent ones and begins so many earlier."""
+    """group, first, last: runs of speech frames. A run begins ``padding`` frames early and is closed by so many silent
+    ones, ``padding`` frames after the first of these; neither end lies outside of the group's frames. Frames that aren't
+    there are silent; streaming/segments.py does the same on a stream."""
+    ends = frames.groupBy(group).agg(F.max(frame).alias("_end"))
     voiced = frames.where(F.col(speech))
     w = Window.partitionBy(group).orderBy(frame)
     opens = F.coalesce(F.col(frame) - F.lag(frame).over(w) > padding, F.lit(True)).cast("int")
     runs = voiced.withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(w))
-    return runs.groupBy(group, "_run").agg(F.greatest(F.min(frame) - padding, F.lit(0)).alias("first"), (F.max(frame) + padding).alias("last")).drop("_run")
+    found = runs.groupBy(group, "_run").agg(F.greatest(F.min(frame) - padding, F.lit(0)).alias("first"), (F.max(frame) + padding + 1).alias("last"))
+    found = found.join(ends.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")))
+    return found.select(group, "first", F.least("last", "_end").alias("last"))
 
 
 def augmentation_candidates(clips: DataFrame, everything: bool = False, rare_below: int = 0) -> DataFrame:

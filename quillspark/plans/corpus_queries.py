@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codemix, text as T
 from ..operators import audit, ingest, quality, report, split
-from ..streaming import resume
+from ..sources.shared import new_path
+from ..streaming import resume, segments
 from . import speech_tables as D
 from .registry import query
 
@@ -48,7 +49,7 @@ _NO_PUNCTUATION = r"regexp_replace({0}, '[.,!?;:\"''()\[\]{{}}<>|/\\`~@#$%^&*_+=
 k AS (SELECT conv_id, turn, {_NO_PUNCTUATION.format('s')} AS plain, {_NO_PUNCTUATION.format("array_to_string(list_transform(list_filter(range(1, len(ch) + 1), lambda i: i <= 2 OR NOT (ch[i] = ch[i - 1] AND ch[i] = ch[i - 2] AND ch[i] <> chr(10))), lambda i: ch[i]), '')")} AS capped FROM c),
 w AS (SELECT *, list_filter(string_split(trim(regexp_replace(capped, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM k)
 SELECT conv_id, turn, sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: i <= 2 OR NOT (w[i] = w[i - 1] AND w[i] = w[i - 2])), lambda i: w[i]), ' ')) AS clean_sha256,
-sha256(lower(trim(regexp_replace(plain, '\s+', ' ', 'g')))) AS primary_sha256 FROM w""".replace("\\s", "\s"))
+sha256(lower(trim(regexp_replace(plain, '\s+', ' ', 'g')))) AS primary_sha256 FROM w""")
 def full_surface_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps, with NFC and both caps."""
     return D.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(T.normalize_transcript("text"), 256).alias("clean_sha256"), F.sha2(T.primary_normalize("text"), 256).alias("primary_sha256"))
@@ -232,9 +233,16 @@ def url_path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), ingest.canonical_path(F.regexp_replace("url", "^https?://[^/]+", ""), "\u0000").alias("path"), ingest.source_id(F.lit(None).cast("string"), clip).alias("source"))
 
 
-_SPLIT = """g AS (SELECT user_id AS g, user_id % 5 AS s FROM events GROUP BY user_id),
-sp AS (SELECT g, s, (row_number() OVER (PARTITION BY s ORDER BY md5('42|' || g), g) - 1) / count(*) OVER (PARTITION BY s) AS p FROM g),
-spl AS (SELECT g, s, CASE WHEN p < 0.8 THEN 'train' WHEN p < 0.9 THEN 'validation' ELSE 'test' END AS split FROM sp) """
+#: Held-out places of {n} groups: a fifth, rounded up, half of it (rounded up) for the test; whole parts of each stratum's
+#: share, then the largest remainders.
+APPORTIONED = """z AS (SELECT count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM g), st AS (SELECT s, count(*) AS c FROM g GROUP BY s),
+h1 AS (SELECT s, t, c * t // n AS q, row_number() OVER (ORDER BY c * t % n DESC, md5('42|' || s), s) AS r FROM st, z),
+h2 AS (SELECT s, t, (t + 1) // 2 AS k, CAST(q + CASE WHEN r <= t - sum(q) OVER () THEN 1 ELSE 0 END AS BIGINT) AS held FROM h1),
+h3 AS (SELECT s, held, k, held * k // t AS q, row_number() OVER (ORDER BY held * k % t DESC, md5('42|' || s), s) AS r FROM h2),
+h4 AS (SELECT s, held, CAST(q + CASE WHEN r <= k - sum(q) OVER () THEN 1 ELSE 0 END AS BIGINT) AS tested FROM h3),
+gr AS (SELECT g, s, row_number() OVER (PARTITION BY s ORDER BY md5('42|' || g), g) AS r FROM g),
+spl AS (SELECT g, s, CASE WHEN r <= tested THEN 'test' WHEN r <= held THEN 'validation' ELSE 'train' END AS split FROM gr JOIN h4 USING (s)) """
+_SPLIT = "g AS (SELECT user_id AS g, user_id % 5 AS s FROM events GROUP BY user_id), " + APPORTIONED
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +255,13 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _groups(spark, sf_dir)
 
 
+@query("WITH g AS (SELECT c_custkey AS g, c_custkey // 4 AS s FROM customer), " + APPORTIONED + "SELECT * FROM spl")
+def small_strata_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strata of four groups each, of which a fifth has to be found over all of them."""
+    rows = D.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("g"), F.expr("c_custkey div 4").alias("s"), F.lit(1).alias("o"))
+    return split.group_split(rows, "g", "s", "o")
+
+
 @query("WITH " + _SPLIT + ", pin AS (SELECT event_id, user_id AS g FROM events WHERE event_id % 3 = 0) SELECT event_id, g FROM pin WHERE g NOT IN (SELECT g FROM spl WHERE split <> 'train')")
 def split_leakage_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.table(spark, sf_dir, "events").where("event_id % 3 = 0").select("event_id", F.col("user_id").alias("g"))
@@ -293,14 +308,33 @@ def greedy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.shards(D.table(spark, sf_dir, "supplier"), "s_nationkey", 4)
 
 
-@query("""WITH v AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events WHERE value > 0.5),
+#: A run of speech is closed by ten silent frames, at the tenth after the first of them or at the last frame of all.
+_SEGMENTS = """WITH v AS (SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS gap FROM events WHERE value > 0.5),
 r AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM v)
-SELECT user_id, greatest(min(event_id) - 10, 0) AS first, max(event_id) + 10 AS last FROM r GROUP BY user_id, run""")
+SELECT user_id, greatest(min(event_id) - 10, 0) AS first, least(max(event_id) + 11, any_value(n)) AS last FROM r JOIN (SELECT user_id, max(event_id) AS n FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id, run"""
+
+
+@query(_SEGMENTS)
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = D.table(spark, sf_dir, "events").withColumn("speech", F.col("value") > 0.5)
     return split.speech_segments(rows, "user_id", "event_id", "speech")
 
 
+@query(_SEGMENTS)
+def streamed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream that is stopped and started again three times between frames, then told of the ends."""
+    e = D.table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 0.5).alias("speech"))
+    folder, out, state = (new_path(spark, f"frames-{k}") for k in ("in", "out", "state"))
+    n = (e.agg(F.max("event_id")).first()[0] or 0) + 1
+    parts = [e.where(F.expr(f"event_id * 4 div {n}") == k) for k in range(4)]
+    ends = e.select("user_id").distinct().select("user_id", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("boolean").alias("speech"))
+    for rows in (*parts, ends):
+        rows.write.mode("append").parquet(folder)
+        found = segments.speech_segments(spark.readStream.schema(e.schema).parquet(folder), "user_id", "event_id", "speech")
+        found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("""WITH v AS (SELECT user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
 r AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM v)
 SELECT user_id, min(ts) AS first, max(ts) + INTERVAL 1 HOUR AS last, count(*) AS n FROM r GROUP BY user_id, run""")

@@ -199,11 +199,21 @@ def augmented_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "pages").select("page_id", ingest.is_augmented(path).alias("augmented"))
 
 
-@query("""WITH """ + CLIP_SQL + """ SELECT CASE WHEN CAST(clip_id AS BIGINT) < 3 THEN clip_id END AS g, 'train' AS split FROM cl WHERE CAST(clip_id AS BIGINT) < 2""")
+_FEW = (("returnflag", "lineitem", "l_returnflag"), ("priority", "orders", "o_orderpriority"), ("status", "lineitem", "l_linestatus"), ("segment", "customer", "c_mktsegment"), ("event", "events", "event_type"))
+_FEW_GROUPS = " UNION ALL ".join(f"SELECT '{kind}' AS kind, {c} AS g FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}" for kind, t, c in _FEW)
+
+
+@query(f"""WITH g AS ({_FEW_GROUPS}), r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || g), g) AS r, count(*) OVER (PARTITION BY kind) AS n FROM g),
+h AS (SELECT *, CASE WHEN n < 3 THEN 0 ELSE CAST(ceil(0.2 * n) AS BIGINT) END AS held FROM r)
+SELECT kind, g, CASE WHEN held > 1 AND r <= (held + 1) // 2 THEN 'test' WHEN r <= held THEN 'validation' ELSE 'train' END AS split FROM h""")
 def few_groups_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewer than three groups are all trained on."""
-    rows = clip_records(spark, sf_dir).where(F.col("clip_id").cast("long") < 2).select(F.col("clip_id").alias("g"), F.lit("a").alias("s"), F.lit(1).alias("o"))
-    return split.group_split(rows, "g", "s", "o").select("g", "split")
+    """Fewer than ten groups: one or two are held out, and none of fewer than three."""
+    out = None
+    for kind, name, c in _FEW:
+        rows = D.table(spark, sf_dir, name).where(F.col(c).isNotNull()).select(F.col(c).alias("g"), F.lit("a").alias("s"), F.lit(1).alias("o"))
+        one = split.group_split(rows, "g", "s", "o").select(F.lit(kind).alias("kind"), "g", "split")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # filters and blanking
