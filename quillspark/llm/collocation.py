@@ -28,8 +28,6 @@ BLANK = np.zeros(256, bool)
 BLANK[0x20] = True
 #: Bits of a filter: so many for each frequent phrase, and 16 MB at most.
 BITS_EACH, MOST_BITS = 16, 1 << 27
-#: Bytes of text that are counted together before rows leave a Python worker.
-PASS_BYTES = 8_000_000
 #: Parts in which the candidates of a language are ranked before their best meet.
 PARTS = 64
 #: Language of documents without one; the phrase under which all of a language's words are counted.
@@ -85,7 +83,7 @@ def phrase_counts(texts: DataFrame, width: int, frequent: Filter | None) -> Data
             langs = batch.column(0).dictionary_encode()
             lang_of, names = np.asarray(langs.indices), langs.dictionary
             body = filled(batch, "text")
-            for a, b in passes(body, PASS_BYTES):
+            for a, b in passes(body):
                 words = words_of(body[a:b], lower=True, between=BETWEEN, ends=ENDS)
                 sizes = np.diff(words.bounds)
                 lang = np.repeat(lang_of[a:b], sizes)
