@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import materialise, text_or_empty
 
 WORD = r"[^ \t\n\x0B\f\r]+"
-#: Exponents are whole multiples of 1/STEPS, up to HIGHEST.
-STEPS, HIGHEST = 1 << 20, 4
+#: Exponents are whole multiples of 1/STEPS.
+STEPS = 1 << 20
 #: Documents of a block on average, and sources up to which their plan is broadcast.
 BLOCK_DOCS, BROADCAST_SOURCES = 4096, 100_000
 #: Weights are whole billionths.
@@ -29,26 +29,34 @@ class Target:
     repetition: float | None = 3.0
 
 
+def _weights(tokens: list[int], k: int) -> list[float]:
+    """Weights at an exponent; shares are taken of the largest one, so that a large exponent leaves something of it."""
+    top = max(tokens)
+    powers = [(t / top) ** (k / STEPS) if t else 0.0 for t in tokens]
+    z = sum(powers)
+    return [p / z for p in powers]
+
+
+def _entropy(weights: list[float]) -> float:
+    return -sum(w * math.log(w) for w in weights if w)
+
+
 def exponent(tokens: list[int], target: Target, budget: int) -> int:
     """The least exponent, in units of 1/STEPS, whose weights meet the target.
 
     Up to the exponent 1 a larger one lowers the largest repetition, and everywhere it lowers the entropy, so each is
-    bisected on its own. If the entropy asks for an exponent at which a source would be repeated too often, the limit of
-    repetition decides; HIGHEST * STEPS or STEPS if nothing meets them.
+    bisected on its own; the upper end for the entropy is doubled until it meets the target. If the entropy asks for an
+    exponent at which a source would be repeated too often, the limit of repetition decides; 1 (the sources' own shares) if
+    nothing meets them. Nothing meets an entropy below that of equal weights for all the largest sources.
     """
-    total = sum(tokens)
-    shares = [t / total for t in tokens if t]
-
-    def weights(k: int) -> list[float]:
-        powers = [s ** (k / STEPS) for s in shares]
-        z = sum(powers)
-        return [p / z for p in powers]
+    known = [t for t in tokens if t]
+    total = sum(known)
 
     def low_entropy(k: int) -> bool:
-        return -sum(w * math.log(w) for w in weights(k)) <= target.entropy * math.log(len(shares)) + 1e-12
+        return _entropy(_weights(known, k)) <= target.entropy * math.log(len(known)) + 1e-12
 
     def few_repeats(k: int) -> bool:
-        return max(w / s for w, s in zip(weights(k), shares, strict=True)) * budget / total <= target.repetition + 1e-12
+        return max(w * total / t for w, t in zip(_weights(known, k), known, strict=True)) * budget / total <= target.repetition + 1e-12
 
     def least(meets, high: int) -> int:
         low = 0
@@ -57,7 +65,13 @@ def exponent(tokens: list[int], target: Target, budget: int) -> int:
             low, high = (low, mid) if meets(mid) else (mid + 1, high)
         return low
 
-    by_entropy = 0 if target.entropy is None else least(low_entropy, HIGHEST * STEPS)
+    by_entropy = 0
+    if target.entropy is not None:
+        by_entropy = STEPS
+        if math.log(known.count(max(known))) < target.entropy * math.log(len(known)):  # what the entropy comes down to
+            while not low_entropy(by_entropy):
+                by_entropy *= 2
+            by_entropy = least(low_entropy, by_entropy)
     if target.repetition is None:
         return by_entropy
     by_repetition = least(few_repeats, STEPS)
@@ -66,10 +80,8 @@ def exponent(tokens: list[int], target: Target, budget: int) -> int:
 
 def entropy_share(tokens: list[int], k: int) -> float:
     """Entropy of the weights at an exponent, as a share of the largest possible."""
-    shares = [t / sum(tokens) for t in tokens if t]
-    powers = [s ** (k / STEPS) for s in shares]
-    weights = [p / sum(powers) for p in powers]
-    return -sum(w * math.log(w) for w in weights) / math.log(len(shares)) if len(shares) > 1 else 1.0
+    known = [t for t in tokens if t]
+    return _entropy(_weights(known, k)) / math.log(len(known)) if len(known) > 1 else 1.0
 
 
 def _hash(*parts: Column | str | int) -> Column:
@@ -88,7 +100,7 @@ def mix_sources(docs: DataFrame, target: Target = Target(), budget: int | None =
     one id and source are one document, whose tokens are added up; equal hashes are ordered by id. Texts of any length are
     counted whole. Extra columns, whatever their names, are left out. An empty table, or one without words, gives an empty
     result. One row a source reaches the driver: sources are datasets or collections, whose weights someone sets. An
-    entropy that no exponent reaches is warned of.
+    entropy that the exponent doesn't reach is warned of: sources are too equal, or the limit of repetition decides.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("n_tokens"))
     units = materialise(rows.groupBy("doc_id", "source").agg(F.sum("n_tokens").alias("n_tokens")), "mix-units")
@@ -100,12 +112,10 @@ def mix_sources(docs: DataFrame, target: Target = Target(), budget: int | None =
         budget = total if budget is None else budget
         k = exponent([t for _, t, _ in by_source], target, budget)
         if target.entropy is not None and (reached := entropy_share([t for _, t, _ in by_source], k)) > target.entropy + 1e-6:
-            warnings.warn(f"the entropy of the weights is {reached:.4f} of the largest; {target.entropy} is out of reach", stacklevel=2)
-        powers = [(t / total) ** (k / STEPS) if t else 0.0 for _, t, _ in by_source]
-        z = sum(powers)
-        for (source, t, n), p in zip(by_source, powers, strict=True):
+            warnings.warn(f"the entropy of the weights is {reached:.4f} of the largest, not {target.entropy}: equal sources or the limit of repetition don't allow it", stacklevel=2)
+        for (source, t, n), weight in zip(by_source, _weights([t for _, t, _ in by_source], k), strict=True):
             if t:
-                passes, rest = divmod(round(p / z * UNIT) * budget // UNIT, t)
+                passes, rest = divmod(round(weight * UNIT) * budget // UNIT, t)
                 plan.append((source, passes, rest, -(-n // BLOCK_DOCS)))
     plan_rows = spark.createDataFrame(plan, "source string, passes long, rest long, blocks long")
     if len(plan) <= BROADCAST_SOURCES:

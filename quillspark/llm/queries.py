@@ -36,22 +36,23 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
-#: The bisection runs over one row with a list of the sources' tokens.
+#: Bisections run over one row with a list of the sources' tokens: of the entropy, after its upper end was doubled until it
+#: meets the target (never for equal largest sources alone), and of the repetition, up to 1.
+_ENTROPY = "(SELECT -list_sum(list_transform(w, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) <= 0.95 * ln(len(w)) + 1e-12 FROM (SELECT list_transform(p, lambda x: x / list_sum(p)) AS w FROM (SELECT list_transform(s, lambda x: pow(x / list_max(s), ({k}) / 1048576.0)) AS p)))"
+_REPEATS = "(SELECT list_max(list_transform(range(1, len(s) + 1), lambda j: w[j] * list_sum(s) / s[j])) <= 3.0 + 1e-12 FROM (SELECT list_transform(p, lambda x: x / list_sum(p)) AS w FROM (SELECT list_transform(s, lambda x: pow(x / list_max(s), ({k}) / 1048576.0)) AS p)))"
 MIX_CTES = r"""
 units AS (SELECT doc_id, coalesce(source, '') AS source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+'))) AS BIGINT) AS n_tokens
           FROM {docs} GROUP BY ALL),
 sources AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS t, count(*) AS n FROM units GROUP BY source),
-shares AS (SELECT list(t / tt ORDER BY source) AS s FROM sources, (SELECT sum(t) AS tt FROM sources) WHERE t > 0),
-bisect AS (SELECT 0 AS low, 4194304 AS high, 0 AS i UNION ALL
-           SELECT CASE WHEN ok THEN low ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE high END, i + 1 FROM (
-             SELECT low, high, i, mid,
-                    -list_sum(list_transform(w, lambda x: x * ln(x))) <= 0.95 * ln(len(s)) + 1e-12
-                    AND list_max(list_transform(range(1, len(s) + 1), lambda j: w[j] / s[j])) <= 3.0 + 1e-12 AS ok
-             FROM (SELECT low, high, i, mid, s, list_transform(p, lambda x: x / list_sum(p)) AS w
-                   FROM (SELECT low, high, i, (low + high) // 2 AS mid, s, list_transform(s, lambda x: pow(x, ((low + high) // 2) / 1048576.0)) AS p
-                         FROM bisect, shares WHERE low < high)))),
-found AS (SELECT arg_max(low, i) AS k FROM bisect),
-powers AS (SELECT source, t, n, pow(t / tt, k / 1048576.0) AS p, tt FROM sources, found, (SELECT sum(t) AS tt FROM sources) WHERE t > 0),
+shares AS (SELECT list(t ORDER BY source) AS s, len(list_filter(s, lambda x: x = list_max(s))) AS tops FROM sources WHERE t > 0),
+doubled AS (SELECT s, tops, 1048576 AS h FROM shares UNION ALL SELECT s, tops, h * 2 FROM doubled WHERE ln(tops) < 0.95 * ln(len(s)) AND NOT {double_ok}),
+by_entropy AS (SELECT s, ln(any_value(tops)) < 0.95 * ln(len(s)) AS reached, 0::BIGINT AS low, max(h)::BIGINT AS high, 0 AS i FROM doubled GROUP BY s UNION ALL
+  SELECT s, reached, CASE WHEN {middle_ok} THEN low ELSE (low + high) // 2 + 1 END, CASE WHEN {middle_ok} THEN (low + high) // 2 ELSE high END, i + 1 FROM by_entropy WHERE reached AND low < high),
+by_repeats AS (SELECT s, 0::BIGINT AS low, 1048576::BIGINT AS high, 0 AS i FROM shares UNION ALL
+  SELECT s, CASE WHEN {repeats_ok} THEN low ELSE (low + high) // 2 + 1 END, CASE WHEN {repeats_ok} THEN (low + high) // 2 ELSE high END, i + 1 FROM by_repeats WHERE low < high),
+ends AS (SELECT any_value(s) AS s, arg_max(high, i) AS e, (SELECT arg_max(low, i) FROM by_repeats) AS r FROM by_entropy),
+found AS (SELECT CASE WHEN e > r AND {end_ok} THEN e ELSE r END AS k FROM ends),
+powers AS (SELECT source, t, n, pow(t / top, k / 1048576.0) AS p, tt FROM sources, found, (SELECT sum(t) AS tt, max(t) AS top FROM sources) WHERE t > 0),
 budgets AS (SELECT source, t, n, CAST(round(p / (SELECT sum(p) FROM powers) * 1e9) AS HUGEINT) * CAST(tt AS HUGEINT) // 1000000000 AS b FROM powers),
 plan AS (SELECT source, CAST(b // t AS BIGINT) AS passes, CAST(b % t AS BIGINT) AS rest, (n + 4095) // 4096 AS blocks FROM budgets),
 dealt AS (SELECT u.*, passes, rest, CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % blocks AS block
@@ -65,7 +66,8 @@ placed AS (SELECT *, row_number() OVER o AS place, CAST(sum(n_tokens) OVER (o RO
 mixed AS (SELECT doc_id, source, n_tokens, pass, block_rank, place FROM placed JOIN blocks_ USING (source, pass, block)
           WHERE pass < passes OR before + upto <= rest)
 """
-OP5_SQL = "WITH RECURSIVE " + MIX_CTES.format(docs="documents").strip() + " SELECT * FROM mixed"
+_MIDDLE = "(low + high) // 2"
+OP5_SQL = "WITH RECURSIVE " + MIX_CTES.format(docs="documents", double_ok=_ENTROPY.format(k="h"), middle_ok=_ENTROPY.format(k=_MIDDLE), repeats_ok=_REPEATS.format(k=_MIDDLE), end_ok=_REPEATS.format(k="e")).strip() + " SELECT * FROM mixed"
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +223,8 @@ LOWER_ASCII = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
 #: All phrases of every piece, without any pass before; scores as HUGEINT.
 OP12_SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({low}, '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 g AS (SELECT lang, k, unnest(CASE WHEN len(w) >= k THEN list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) ELSE [] END) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
 n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 10),

@@ -626,3 +626,15 @@ def test_words():
     got = [[values[c] for c in w.codes[a:b]] for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
     assert got == [re.findall(r"[^\x20\x09-\x0D]+", t.translate(TRANS)) for t in texts]
     assert vectext.words_of(pa.array(texts)[1:3], lower=False).bounds.tolist() == [0, 0, 1]
+
+
+def test_exponent_beyond_four():
+    """Nearly equal sources need a large exponent, and only equal largest ones have none."""
+    tokens = [1000, 990, 985, 980, 400]
+    k = mixing.exponent(tokens, mixing.Target(0.5, None), sum(tokens))
+    assert k > 4 * mixing.STEPS and abs(mixing.entropy_share(tokens, k) - 0.5) < 1e-6
+    close = mixing.exponent([100_001, 100_000], mixing.Target(0.1, None), 200_001)
+    assert close > 1000 * mixing.STEPS and abs(mixing.entropy_share([100_001, 100_000], close) - 0.1) < 1e-6
+    assert mixing.exponent([7, 7, 7], mixing.Target(0.9, None), 21) == mixing.STEPS
+    assert mixing.exponent([7, 7, 1], mixing.Target(0.5, None), 15) == mixing.STEPS  # ln 2 / ln 3 at the least
+    assert mixing.exponent([5], mixing.Target(), 5) == mixing.STEPS or mixing.exponent([5], mixing.Target(), 5) == 0
