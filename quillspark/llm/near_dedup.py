@@ -30,8 +30,8 @@ BASE, RATE, TOP = 1.02, 20.0, 3000
 #: Members of a block; buckets that a pivot leaves in several components are compared block by block. Unpacked sets that
 #: a task keeps meanwhile.
 BLOCK, KEPT_SETS = 512, 20_000
-#: Members beyond which a bucket is split by further bands before it is compared, and bands that are added at most.
-LARGE, REFINEMENTS = 2048, 3
+#: Members outside of a bucket's largest component beyond which it is split by prefix elements before it is compared.
+LARGE = 1 << 15
 #: Standard deviations below the threshold at which the estimate alone drops a pair.
 MARGIN = 4.0
 
@@ -224,40 +224,72 @@ def _forest(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, prints: list[np.nd
     return found
 
 
-def _refined(rows: DataFrame) -> DataFrame:
-    """Buckets (band, key, size, id, component) of which none that can be told apart is large.
+def _tallies(rows: DataFrame) -> DataFrame:
+    """band, key, most (members of the largest component and its id, of equals the larger), others (members outside)."""
+    sizes = rows.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
+    return found.select("band", "key", "most", (F.col("all") - F.col("most.n")).alias("others"))
 
-    A member of a large bucket goes on to the buckets of two of its large bands at once, of three, and of four, until
-    they are small: sets that are similar share so many bands, others don't. Each step makes at most a row for each band
-    and member. What is large at the end is one group of sets that are alike in all of them.
+
+def _refined(rows: DataFrame, sets: DataFrame, percent: int, unpack: Callable[[bytes], np.ndarray], name: str) -> DataFrame:
+    """Buckets (band, key, size, id, component) in which no more than LARGE members lie outside of the largest component, or
+    that have an element in common which is among each member's rarest.
+
+    Buckets with more are replaced: their members are dealt anew by the elements of their prefixes. Of the elements in the
+    order of how few of these sets have them, a set of n has its first n - ceil(percent * n / 100) + 1 as its prefix. Sets
+    that are linked have an element of their prefixes in common, so no link is lost. Elements of one set alone come first
+    and need no rows.
     """
-    small, step = rows.where(F.col("size") <= LARGE), 0
-    large = rows.where(F.col("size") > LARGE)
-    while step < REFINEMENTS and not large.isEmpty():
-        step += 1
-        more = rows.where((F.col("size") > LARGE) & (F.col("band") >= 0)).select("id", F.col("band").alias("band_2"), F.col("key").alias("key_2"))
-        both = large.withColumn("last", F.coalesce("last", "band") if "last" in large.columns else F.col("band")).join(more, "id").where("band_2 > last")
-        both = both.select(F.lit(-step).alias("band"), F.xxhash64("key", "key_2", "band_2").alias("key"), "id", "component", F.col("band_2").alias("last"))
-        both = materialise(both, "near-refined")
-        sizes = both.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        both = both.join(materialise(sizes.select("band", "key", "size"), "near-refined-sizes").hint("merge"), ["band", "key"])
-        last = step == REFINEMENTS
-        small = small.unionByName((both if last else both.where(F.col("size") <= LARGE)).select(*small.columns))
-        large = both.where(F.col("size") > LARGE)
-    return small
+    many = materialise(_tallies(rows).where(F.col("others") > LARGE).select("band", "key"), f"{name}-many")
+    if many.isEmpty():
+        release(many)
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                found = [unpack(x.as_py()) for x in part.column(1)]
+                n = np.array([len(x) for x in found])
+                columns = (np.repeat(np.asarray(part.column(0)), n), np.repeat(n, n), np.concatenate(found).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "element"])
+
+    ids = materialise(rows.join(many.hint("merge"), ["band", "key"], "left_semi").select("id", "component").distinct(), f"{name}-many-ids")
+    elements = materialise(sets.join(ids.select("id").hint("merge"), "id").select("id", "elements").mapInArrow(run, "id long, n long, element long"), f"{name}-elements")
+    times = materialise(elements.groupBy("element").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), f"{name}-times")
+    shared = elements.join(times.hint("merge"), "element").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("times", "element"))).alias("x"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("x"))  # those of one set are spent
+    dealt = shared.select("id", F.explode(F.slice("x", 1, F.greatest(prefix, F.lit(0)).cast("int"))).alias("x")).select("id", F.col("x.element").alias("key"))
+    dealt = materialise(dealt.join(ids.hint("merge"), "id"), f"{name}-dealt")
+    sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key", "size")
+    sizes = materialise(sizes, f"{name}-dealt-sizes")
+    new = dealt.join(sizes.hint("merge"), "key").select(F.lit(-1).alias("band"), "key", "size", "id", "component")
+    out = materialise(rows.join(many.hint("merge"), ["band", "key"], "left_anti").select(*new.columns).unionByName(new), f"{name}-refined")
+    release(many, ids, elements, times, dealt, sizes)
+    return out
 
 
 def _block_pairs(rows: DataFrame, prints: DataFrame, failed: DataFrame | None, percent: int, unpack: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
     """band, key, a, b: untested pairs that may join components of a bucket, from comparing its members block by block.
 
-    In each pair of blocks the candidates form a forest over the components, so their number is linear; if one fails,
-    the bucket is compared again without it, and another takes its place. Blocks lie sorted in their partition and are
-    read one after the other, so that small ones cost little. failed: candidates (a, b) that weren't links; the bound
-    that proposes them misses only by equal fingerprints, so a set has few.
+    Pairs inside of a component needn't be compared, so members of the largest one meet only the blocks of the others: of n
+    members with s outside of it, n * s / BLOCK rows or so, not n * n / BLOCK. In each pair of blocks the candidates form a
+    forest over the components, so their number is linear; if one fails, the bucket is compared again without it, and
+    another takes its place. Blocks lie sorted in their partition and are read one after the other, so that small ones cost
+    little. failed: candidates (a, b) that weren't links; the bound that proposes them misses only by equal fingerprints, so
+    a set has few.
     """
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "id", "component")
+    rows = rows.join(_tallies(rows).withColumnsRenamed({"band": "band_", "key": "key_"}), (F.col("band") == F.col("band_")) & (F.col("key") == F.col("key_")))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    large = F.col("others") + F.col("most.n") > BLOCK
+    rows = rows.withColumns({"major": blocks(F.col("most.n")), "minor": F.when(large, blocks(F.col("others"))).otherwise(1), "h": F.xxhash64("id")})
+    within = lambda n: F.pmod(F.col("h"), F.col(n)).cast("int")
+    to = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of_major = F.transform(upto("minor"), lambda i: to(i, -1 - within("major")))
+    of_minor = F.concat(F.transform(upto("major"), lambda j: to(within("minor"), -1 - j)), F.transform(upto("minor"), lambda j: to(F.least(j, within("minor")), F.greatest(j, within("minor")))))
+    places = F.when(~large, F.array(to(F.lit(0), F.lit(0)))).when(F.col("component") == F.col("most.component"), of_major).otherwise(of_minor)
+    rows = rows.select("band", "key", "id", "component", F.explode(places).alias("x")).select("band", "key", "x.i", "x.j", "id", "component")
     rows = rows.join(prints.hint("merge"), "id")
     if failed is None:
         rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
@@ -316,10 +348,10 @@ def bucket_components(buckets: DataFrame, sets: DataFrame, percent: int, plausib
     buckets: band, key, id, size (of the bucket); sets: id, elements (sorted distinct 64-bit hashes, as bytes, or
     something smaller that ``unpack`` turns into them where it is needed). First
     all members of a bucket are compared with its least one, as far as ``plausible`` lets the pairs through. Buckets
-    that then span several components are split by further bands if they have more than LARGE members, and compared in
-    full, block by block; only pairs that may join two components go on, as a forest, so that no bucket is expanded into
-    all pairs: buckets in which a candidate failed are compared again, until none is untested. Links are confirmed on
-    whole sets.
+    that then span several components are compared in full, block by block, those with more than LARGE members outside of
+    their largest component by the elements of prefixes; only pairs that may join two components go on, as a forest, so
+    that no bucket is expanded into all pairs: buckets in which a candidate failed are compared again, until none is
+    untested. Links are confirmed on whole sets, and none between members of a bucket is lost, whatever its size.
     """
     wanted = buckets.select("id").distinct()
     prints = sets.withColumnRenamed("elements", "prints") if unpack else sets.mapInArrow(_prints, "id long, n_shingles long, prints binary")
@@ -335,7 +367,7 @@ def bucket_components(buckets: DataFrame, sets: DataFrame, percent: int, plausib
         else:
             rows = rows.select("band", "key", "size", "id", "component")
             if turn == 1:
-                rows = materialise(_refined(materialise(rows, f"{name}-unrefined")), f"{name}-mixed-rows")
+                rows = _refined(materialise(rows, f"{name}-unrefined"), sets, percent, unpack or stored, name)
                 now_in = rows.drop("component")
             of_buckets = materialise(_block_pairs(rows, prints, failed, percent, unpack), f"{name}-candidates")
             pairs = of_buckets.select("a", "b").distinct()

@@ -638,3 +638,45 @@ def test_exponent_beyond_four():
     assert mixing.exponent([7, 7, 7], mixing.Target(0.9, None), 21) == mixing.STEPS
     assert mixing.exponent([7, 7, 1], mixing.Target(0.5, None), 15) == mixing.STEPS  # ln 2 / ln 3 at the least
     assert mixing.exponent([5], mixing.Target(), 5) == mixing.STEPS or mixing.exponent([5], mixing.Target(), 5) == 0
+
+
+def chars(line):
+    return frozenset(line[k : k + 9] for k in range(len(line) - 8))
+
+
+@pytest.mark.parametrize(("large", "block"), [(1 << 15, 512), (8, 512), (8, 16), (1 << 15, 16)])
+def test_lines_in_large_buckets(spark, monkeypatch, large, block):
+    """Pairs of lines with one long common beginning: all in one bucket, and linked with nothing but each other."""
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(12)
+    head = "".join(rng.choice("abcdefghij ") for _ in range(240))
+    lines = []
+    for _ in range(150):
+        line = head + "".join(rng.choice("klmnopqrst") for _ in range(60))
+        lines += [line, line[:-3] + "xyz"]
+    sets = [chars(x) for x in lines]
+    root = union_find([(a, b) for b in range(len(lines)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert len({root(k) for k in range(len(lines))}) == 150
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {k for k in range(len(lines)) if root(k) != k}
+
+
+def test_no_link_is_lost_in_a_large_bucket(spark, monkeypatch):
+    """One bucket with all sets, chains and strangers, compared by prefix elements in small blocks."""
+    monkeypatch.setattr(near_dedup, "LARGE", 5)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(21)
+    common = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = []
+    for _ in range(40):
+        x = np.concatenate([common, rng.integers(0, 1 << 63, int(rng.integers(14, 40)), dtype=np.uint64)])
+        for _ in range(int(rng.integers(1, 6))):
+            sets.append(np.unique(x))
+            x = np.delete(x, rng.integers(0, len(x), int(rng.integers(1, 9))))
+    rows = [(i, s.tobytes()) for i, s in enumerate(sets)]
+    buckets = spark.createDataFrame([(0, 7, i, len(sets)) for i in range(len(sets))], "band int, key long, id long, size long")
+    got = near_dedup.bucket_components(buckets, spark.createDataFrame(rows, "id long, elements binary"), 80, lambda p: p, "one")
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    root = union_find(links)
+    assert len(links) > 50 and {r.id: r.component for r in got.collect()} == {i: root(i) for i in range(len(sets))}
