@@ -342,12 +342,13 @@ def fixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # noise and variants
 
-@query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), k AS (SELECT *, string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ') AS w FROM d)
-SELECT doc_id, list_has_any(w, ['the', 'and']) AND regexp_matches(t, '(^|[^a-z''-])(the|and)($|[^a-z''-])') AS changed FROM k""")
+@query("""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), k AS (SELECT *, string_split(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ') AS w FROM d),
+c AS (SELECT doc_id, t, CASE WHEN list_has_any(w, ['the', 'and']) THEN trim(regexp_replace(array_to_string(list_filter(regexp_extract_all(t, '[a-z][a-z''-]*|[^a-z]+'), lambda x: x NOT IN ('the', 'and')), ''), '\\s+', ' ', 'g')) ELSE t END AS cleaned FROM k)
+SELECT doc_id, cleaned <> t AS changed, sha256(cleaned) AS cleaned_sha256 FROM c""")
 def noise_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts from which noise tokens are deleted."""
     clips = D.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("transcript"))
-    return quality.clean_noise(clips, ["the", "and"]).select("doc_id", "changed")
+    return quality.clean_noise(clips, ["the", "and"]).select("doc_id", "changed", F.sha2("transcript", 256).alias("cleaned_sha256"))
 
 
 @query("""WITH d AS (SELECT s_suppkey, 'um the ' || lower(s_name) || ' um, uh' AS t FROM supplier) SELECT s_suppkey, 'the ' || regexp_replace(lower(s_name), '#', '#', 'g') || ' , uh' AS text FROM supplier""")

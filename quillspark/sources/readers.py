@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import schemas as S
 from ..functions.text import fold
+from . import arrow
 
 
 def records(spark: SparkSession, path: str | list[str], schema: str = S.TRANSCRIPTS) -> DataFrame:
@@ -28,6 +29,42 @@ def elements(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "row", F.col("element").alias("value"), F.coalesce(F.ltrim("element").startswith("{"), F.lit(False)).alias("is_record"))
 
 
+def record_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, number, value: the lines of text files, numbered from 0 inside of each block that a task reads.
+
+    A file of any size is read in blocks; the line number in the file is number plus the lines of the blocks before it,
+    which line_numbers() adds where it is asked for.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("number"), "value")
+    return rows
+
+
+def line_numbers(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """some of the lines, with their ``row`` in the file in place of block and number. One row a block is shuffled."""
+    blocks = lines.groupBy("file", "block").agg(F.min("number").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
+    return some.join(blocks, ["file", "block"]).withColumn("row", F.col("number") - F.col("_first") + F.col("_before")).drop("block", "number", "_first", "_lines", "_before")
+
+
+def quarantined(spark: SparkSession, path: str, schema: str = S.TRANSCRIPTS) -> tuple[DataFrame, DataFrame]:
+    """Records of JSON arrays with a record a line (as writers.json_array() makes them) or of JSON lines, and what is none:
+    good rows with the schema's columns, and file, row (line from 0), value of the damaged ones.
+
+    Each line is parsed by itself, so one that is damaged costs nothing but itself, and a file larger than a task's memory
+    is read in blocks. Blank lines and lone brackets are neither. A value that doesn't fit its column is damage too.
+    """
+    lines = record_lines(spark, path)
+    bare = F.regexp_replace(F.regexp_replace("value", r"^\s*\[?\s*", ""), r"[\s,]*(\][\s,]*)?$", "")
+    parsed = lines.withColumn("_bare", bare).where("_bare <> ''")
+    inner = F.from_json("_bare", f"{schema}, _damage string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_damage"})
+    parsed = parsed.withColumn("_record", F.when(F.col("_bare").startswith("{"), inner))
+    fits = F.col("_record").isNotNull() & F.col("_record._damage").isNull()
+    names = [f.name for f in parsed.schema["_record"].dataType.fields if f.name != "_damage"]
+    good = parsed.where(fits).select(*(F.col("_record")[n].alias(n) for n in names))
+    return good, line_numbers(lines, parsed.where(~fits).select("file", "block", "number", "value"))
+
+
 def checked_records(spark: SparkSession, path: str, schema: str = S.TRANSCRIPTS) -> DataFrame:
     """As records(), but every element is looked at first: the error names the file and row of one that is no record."""
     bad = elements(spark, path).where("NOT is_record").orderBy("file", "row").first()
@@ -49,9 +86,11 @@ def ipc_rows(files: DataFrame, schema: str, content: str = "content") -> DataFra
     return files.select(content).mapInArrow(run, schema)
 
 
-def arrow_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of Arrow IPC files below a folder, a file at a time."""
-    return ipc_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), schema)
+def arrow_files(spark: SparkSession, path: str, schema: str | None = None, part_bytes: int = arrow.PART_BYTES) -> DataFrame:
+    """Rows of Arrow IPC files at or below a path, a large file in several parts; the first file's schema if none is given."""
+    arrow.register(spark)
+    reader = spark.read.format(arrow.NAME).option("part_bytes", part_bytes)
+    return (reader.schema(schema) if schema else reader).load(path)
 
 
 def records_if_any(spark: SparkSession, path: str, schema: str = S.TRANSCRIPTS) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import schemas as S
 from ..operators.ingest import routed
+from . import arrow
 
 
 def json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -99,11 +103,28 @@ def with_audio(rows: DataFrame, audio: DataFrame) -> DataFrame:
     return rows.join(there, "audio_path", "left").withColumn("audio_missing", F.col("_there").isNull()).drop("_there")
 
 
-def split_manifests(rows: DataFrame, audio: DataFrame, path: str) -> DataFrame:
-    """Manifests split by split of the rows whose audio is there; split, written, missing: how many that were."""
+def split_manifests(rows: DataFrame, audio: DataFrame, path: str, names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Manifests split by split of the rows whose audio is there; split, written, missing: how many that were.
+
+    The counts are observed while the manifests are written, in the one job that there is. Splits of other names are
+    written too, and counted together as a null split.
+    """
     marked = with_audio(rows, audio)
-    marked.where("NOT audio_missing").drop("audio_missing").write.partitionBy("split").csv(path, header=True, escape='"')
-    return marked.groupBy("split").agg(F.count_if(~F.col("audio_missing")).alias("written"), F.count_if("audio_missing").alias("missing"))
+    here = {n: F.col("split").eqNullSafe(F.lit(n)) for n in names}
+    other = ~F.coalesce(F.col("split").isin(*names), F.lit(False))
+    seen = Observation()
+    measures = []
+    for k, of in enumerate([*here.values(), other]):
+        measures += [F.count_if(of & ~F.col("audio_missing")).alias(f"written_{k}"), F.count_if(of & F.col("audio_missing")).alias(f"missing_{k}")]
+    marked.observe(seen, *measures).where("NOT audio_missing").drop("audio_missing").write.partitionBy("split").csv(path, header=True, escape='"')
+    counts = [(n, seen.get[f"written_{k}"], seen.get[f"missing_{k}"]) for k, n in enumerate([*names, None])]
+    return rows.sparkSession.createDataFrame([c for c in counts if c[1] or c[2]], "split string, written long, missing long")
+
+
+def arrow_files(rows: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Arrow IPC files, a file a task; nothing is there until all are, and nothing stays of a write that failed."""
+    arrow.register(rows.sparkSession)
+    rows.write.format(arrow.NAME).mode("overwrite" if overwrite else "append").save(path)
 
 
 def splits(rows: DataFrame, path: str, subset: bool = False) -> None:
@@ -131,6 +152,10 @@ def mirrored(rows: DataFrame, *paths: str) -> None:
         rows.write.mode("errorifexists").parquet(path)
 
 
+class VersionTaken(RuntimeError):
+    """Another writer has made the version that this one was about to make."""
+
+
 def _versions(spark: SparkSession, path: str) -> list[int]:
     hadoop = spark._jvm.org.apache.hadoop.fs
     where = hadoop.Path(path)
@@ -138,19 +163,55 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     if not fs.exists(where):
         return []
     names = [x.getPath().getName() for x in fs.listStatus(where)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS")))
+    return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.manifest", n)))
+
+
+def _claim(spark: SparkSession, path: str, n: int, folder: str) -> bool:
+    """Make version n's manifest, which names its folder, unless there is one: at once, and with its content."""
+    jvm = spark._jvm
+    hadoop, conf = jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    mine, manifest = hadoop.Path(f"{path}/.{folder}.manifest"), hadoop.Path(f"{path}/v{n}.manifest")
+    fs = mine.getFileSystem(conf)
+    out = fs.create(mine, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":  # a link is made only where nothing is
+            jvm.java.nio.file.Files.createLink(jvm.java.io.File(manifest.toUri().getPath()).toPath(), jvm.java.io.File(mine.toUri().getPath()).toPath())
+            fs.delete(mine, False)
+        else:  # a rename that doesn't replace
+            none = spark._jvm.java.lang.reflect.Array.newInstance(jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+            hadoop.FileContext.getFileContext(mine.toUri(), conf).rename(mine, manifest, none)
+    except Py4JJavaError as e:
+        fs.delete(mine, False)
+        if "AlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
+    return True
 
 
 def new_version(rows: DataFrame, path: str) -> int:
-    """Write the next version beside the last one, which stays as its backup; rows may have been read from it."""
-    n = (_versions(rows.sparkSession, path) or [0])[-1] + 1
-    rows.write.parquet(f"{path}/v{n}")
+    """Write the next version beside the last one, which stays as its backup; rows may have been read from it.
+
+    The rows go to a folder of their own, and become version n when the manifest vN.manifest is made, which only one writer
+    can do. Of two writers that began from the same version the later one gets VersionTaken and leaves nothing behind, so
+    that it can read the other's version and begin again. A folder without a manifest is never read.
+    """
+    spark = rows.sparkSession
+    n = (_versions(spark, path) or [0])[-1] + 1
+    folder = f"data-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{path}/{folder}")
+    if not _claim(spark, path, n, folder):
+        data = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        data.getFileSystem(spark._jsc.hadoopConfiguration()).delete(data, True)
+        raise VersionTaken(f"{path}: version {n} has been made meanwhile")
     return n
 
 
 def version(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """A version by number, or the last whole one."""
-    return spark.read.parquet(f"{path}/v{n or _versions(spark, path)[-1]}")
+    """A version by number, or the last one."""
+    n = n or _versions(spark, path)[-1]
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/v{n}.manifest').first().value}")
 
 
 def stored_or_made(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
