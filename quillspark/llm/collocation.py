@@ -101,7 +101,8 @@ def phrase_counts(texts: DataFrame, width: int, frequent: Filter | None) -> Data
                     all_words = np.bincount(lang, minlength=len(names))
                     name, phrase = pa.concat_arrays([name, names]), pa.concat_arrays([phrase, pa.array([ALL_WORDS] * len(names), pa.string())])
                     times = np.append(times, all_words)
-                yield pa.RecordBatch.from_arrays([name, phrase, pa.array(times, pa.int64())], ["lang", "phrase", "n"])
+                out = pa.RecordBatch.from_arrays([name, phrase, pa.array(times, pa.int64())], ["lang", "phrase", "n"])
+                yield from (out.slice(k, 1 << 16) for k in range(0, out.num_rows, 1 << 16))
 
     rows = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
