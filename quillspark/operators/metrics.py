@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions import codemix, text as T
-
-#: Symbols for the different words of a pair: code points from here on, in one plane without surrogates.
-FIRST_SYMBOL, SYMBOLS = 0x10000, 60_000
-#: Code points from FIRST_SYMBOL to the last.
-ALL_SYMBOLS = 0x110000 - FIRST_SYMBOL
-
-
-def _alphabet() -> Column:
-    return F.lit("".join(map(chr, range(FIRST_SYMBOL, FIRST_SYMBOL + SYMBOLS))))
-
+from .alignment import alignment, edit_distance
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Unit-cost edit distance of two arrays of words, by the built-in distance of strings with a symbol for each
-    different word. Pairs with more than SYMBOLS different words take symbols by number; more than ALL_SYMBOLS fail."""
-    def distance(vocabulary: Column) -> Column:
-        place = lambda w: F.array_position(vocabulary, w).cast("int")
-        near = lambda w: F.substring(_alphabet(), place(w), F.lit(1))
-        far = lambda w: F.decode(F.unhex(F.lpad(F.hex(place(w) + (FIRST_SYMBOL - 1)), 8, "0")), "UTF-32")
-        by = lambda symbol: F.levenshtein(*(F.array_join(F.transform(x, symbol), "") for x in (ref, hyp)))
-        size = F.size(vocabulary)
-        return F.when(size <= SYMBOLS, by(near)).when(size <= ALL_SYMBOLS, by(far)).when(size > ALL_SYMBOLS, F.raise_error(F.lit("too many different words for word_distance")).cast("int"))
-
-    return T.bound(F.array_distinct(F.concat(ref, hyp)), distance)
+    """Unit-cost edit distance of two arrays of words, of any number of different words."""
+    return edit_distance(ref, hyp)
 
 
 def pair_statistics(pairs: DataFrame, ref: str = "reference", hyp: str = "hypothesis", native=T.is_bengali_word, english=T.is_english_word) -> DataFrame:
@@ -91,41 +69,6 @@ def metric_bundle(statistics: DataFrame, *by: str, flag: str = "is_code_switched
     return statistics.groupBy(*by).agg(*(c.alias(k) for k, c in measures.items()))
 
 
-def _align(ref: list[str], hyp: list[str]) -> tuple[int, int, int, list[tuple[str, str]]]:
-    """Substitutions, deletions, insertions and substituted pairs; of equal paths back from the end, a match or
-    substitution is taken before a deletion, and that before an insertion."""
-    table = [list(range(len(hyp) + 1))]
-    for i, r in enumerate(ref, 1):
-        above, row = table[-1], [i]
-        for j, h in enumerate(hyp, 1):
-            row.append(min(above[j - 1] + (r != h), above[j] + 1, row[-1] + 1))
-        table.append(row)
-    i, j, d, n, pairs = len(ref), len(hyp), 0, 0, []
-    while i or j:
-        here = table[i][j]
-        if i and j and here == table[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
-            if ref[i - 1] != hyp[j - 1]:
-                pairs.append((ref[i - 1], hyp[j - 1]))
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1][j] + 1:
-            d, i = d + 1, i - 1
-        else:
-            n, j = n + 1, j - 1
-    return len(pairs), d, n, pairs[::-1]
-
-
-_PAIR = StructType([StructField("ref", StringType()), StructField("hyp", StringType())])
-_EDITS = StructType([*(StructField(k, LongType()) for k in ("sub", "del", "ins")), StructField("pairs", ArrayType(_PAIR))])
-
-
-@F.pandas_udf(_EDITS)
-def alignment(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Edit operations of two arrays of words. Quadratic in their length, so meant for utterances, not documents."""
-    for refs, hyps in batches:
-        out = [_align(list(r) if r is not None else [], list(h) if h is not None else []) for r, h in zip(refs, hyps, strict=True)]
-        yield pd.DataFrame({"sub": [x[0] for x in out], "del": [x[1] for x in out], "ins": [x[2] for x in out], "pairs": [[{"ref": a, "hyp": b} for a, b in x[3]] for x in out]})
-
-
 def error_breakdown(pairs: DataFrame, *by: str, ref: str = "reference", hyp: str = "hypothesis") -> DataFrame:
     """Substitutions, deletions, insertions and their rates. Of a blank reference only insertions count."""
     rows = pairs.select(*by, F.size(T.words(ref)).alias("n"), alignment(T.words(ref), T.words(hyp)).alias("a"))

@@ -1,7 +1,7 @@
 """Metrics and corpus queries over whole turns, all rows and all words."""
 
 from quillspark.functions import text as T
-from quillspark.operators import metrics
+from quillspark.operators import alignment, metrics
 from quillspark.plans import corpus_queries, metric_queries, registry
 
 
@@ -21,8 +21,8 @@ def test_words_after_the_fortieth_count(spark, tmp_path):
     assert metric_queries.worst_pairs_topk(spark, sf).first().wer == round(2 / 60, 4)
 
 
-def test_distance_beyond_the_alphabet(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "SYMBOLS", 2)
+def test_distance_beyond_the_table(spark, monkeypatch):
+    monkeypatch.setattr(alignment, "CELLS", 2)
     row = spark.createDataFrame([("a b c d", "a x c")], "r string, h string")
     assert row.select(metrics.word_distance(T.words("r"), T.words("h")).alias("d")).first().d == 2
 
