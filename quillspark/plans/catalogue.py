@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from . import corpus_queries, metric_queries, record_queries, storage_queries, text_queries  # noqa: F401
+from . import corpus_queries, metric_queries, model_queries, record_queries, storage_queries, text_queries  # noqa: F401

@@ -29,4 +29,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again by whatever follows."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.quill_path = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete tables of written() that nothing will read again; others are left alone."""
+    for df in tables:
+        if path := getattr(df, "quill_path", None):
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
