@@ -204,6 +204,22 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap_interval(_keyed(spark, sf_dir), RESAMPLES, "key", "word_edits", "n_words", ["grp"])
 
 
+@query(_KEYED[:-1] + f""" SELECT grp, count(*) AS rows, CAST({RESAMPLES} AS BIGINT) AS resamples, true AS whole, true AS spread, (SELECT round(sum(word_edits) / sum(n_words), 3) FROM s WHERE s.grp = keyed.grp) AS rate FROM keyed GROUP BY grp""")
+def exact_resamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resamples of exactly as many pairs as there are: whether each one's weights add up to that, whether the resampled
+    rates have the mean and spread that they should, and their mean."""
+    rows = _keyed(spark, sf_dir).withColumn("one", F.lit(1))
+    drawn = stats.exact_sums(rows, RESAMPLES, "key", ["word_edits", "n_words", "one"], ["grp"])
+    own = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), (F.sum("word_edits") / F.sum("n_words")).alias("of_all"), F.sum("n_words").alias("words"))
+    # standard error of a ratio by linearisation
+    error = rows.join(own, "grp").groupBy("grp").agg(F.sqrt(F.sum(F.pow(F.col("word_edits") - F.col("of_all") * F.col("n_words"), 2))).alias("_e"), F.first("words").alias("_w"))
+    error = error.select("grp", (F.col("_e") / F.col("_w")).alias("error"))
+    seen = drawn.withColumn("r", F.col("word_edits") / F.col("n_words")).groupBy("grp").agg(F.count(F.lit(1)).alias("resamples"), F.min("one").alias("low"), F.max("one").alias("high"), F.avg("r").alias("mean"), F.stddev("r").alias("sd"))
+    out = own.join(seen, "grp").join(error, "grp")
+    near = (F.abs(F.col("sd") / F.col("error") - 1) < 0.1) & (F.abs(F.col("mean") - F.col("of_all")) < 0.1 * F.col("error") + 0.002)
+    return out.select("grp", "rows", "resamples", ((F.col("low") == F.col("rows")) & (F.col("high") == F.col("rows"))).alias("whole"), near.alias("spread"), F.round("of_all", 3).alias("rate"))
+
+
 _TAILS = """c AS (SELECT count(*) AS b, count(*) FILTER (d <= 0) AS low, count(*) FILTER (d >= 0) AS high, list_sort(list(d)) AS ds FROM t)"""
 _TEST = """SELECT round(a, 4) AS rate_a, round(bb, 4) AS rate_b, round(a - bb, 4) AS delta, round(ds[CAST(floor(b * 0.025) AS INT) + 1], 4) AS delta_low, round(ds[CAST(floor(b * 0.975) AS INT) + 1], 4) AS delta_high,
 round(100 * (a - bb) / a, 2) AS reduction_pct, round(low / b, 4) AS p_one, round(least(1.0, 2 * least((low + 1) / (b + 1), (high + 1) / (b + 1))), 4) AS p_two, low / b < 0.05 AS significant_05, low / b < 0.01 AS significant_01 FROM a, c"""
