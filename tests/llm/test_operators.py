@@ -680,3 +680,16 @@ def test_no_link_is_lost_in_a_large_bucket(spark, monkeypatch):
     links = [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
     root = union_find(links)
     assert len(links) > 50 and {r.id: r.component for r in got.collect()} == {i: root(i) for i in range(len(sets))}
+
+
+def test_mixtures_of_words():
+    tokens = np.log(np.array([0.5, 0.1, 0.2, 0.4, 0.25, 0.3]))
+    opens = np.array([True, False, True, True, True, True])  # a word of two subwords, a word, an end; a word, an end
+    counts = np.array([3.0, 0.0, 2.0, 1.0, 2.0])
+    whole, without = lm_score.mixed_scores(tokens, opens, counts, 10, np.array([0, 0, 0, 1, 1]), 2)
+    for k, w in enumerate(lm_score.WEIGHTS):
+        mix = lambda p, n, total: math.log10((1 - w) * p + w * n / total)  # noqa: E731, B023
+        assert math.isclose(whole[0, k], mix(0.05, 3, 10) + mix(0.2, 0, 10) + mix(0.4, 2, 10))
+        assert math.isclose(whole[1, k], mix(0.25, 1, 10) + mix(0.3, 2, 10))
+        assert math.isclose(without[1, k], mix(0.25, 0, 9) + mix(0.3, 1, 9))
+    assert not lm_score.mixed_scores(np.zeros(0), np.zeros(0, bool), np.zeros(0), 0, np.zeros(0, np.int64), 0)[0].size
