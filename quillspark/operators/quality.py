@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import text as T
+from ..sources.shared import written
 
 # Thresholds of the tiers, and the weights of the reasons.
 HIGH_BELOW, MEDIUM_BELOW, MIN_NATIVE_CHARS, ENGLISH_BAND = 0.30, 0.59, 3, (0.05, 0.65)
@@ -128,17 +130,21 @@ def score_clips(clips: DataFrame, scored: DataFrame, at_least: int = 3, min_wps:
     clips: clip_id, dialect, transcript, duration_sec and avg_no_speech_prob. A clip's score is the sum over its tokens
     of scores of at_least or more, and increments for its own faults; reasons come most frequent first, then by name.
     """
-    found = T.tokens("transcript", pattern)
-    own = clips.withColumn("token_list", found).withColumn("n", F.size(found))
+    looked = T.bound(T.tokens("transcript", pattern), lambda x: F.struct(F.size(x).alias("n"), T.repeated_ngram(x).alias("loop")))
+    own = clips.withColumn("looked", looked).withColumns({"n": F.col("looked.n"), "loop": F.col("looked.loop")}).drop("looked")
     wps = F.when((F.col("duration_sec") >= min_seconds) & (F.col("n") > 0), F.col("n") / F.col("duration_sec"))
     faults = [
         (T.empty_if_null("transcript").contains("�"), "replacement_character", 5), (F.coalesce(F.col("avg_no_speech_prob") >= 0.30, F.lit(False)), "high_no_speech_prob", 2),
-        (F.coalesce(wps < min_wps, F.lit(False)), "under_transcription", 3), (T.repeated_ngram(F.col("token_list")), "word_loop_hallucination", 4), (T.truncated("transcript"), "truncated_transcript", 2),
+        (F.coalesce(wps < min_wps, F.lit(False)), "under_transcription", 3), (F.col("loop"), "word_loop_hallucination", 4), (T.truncated("transcript"), "truncated_transcript", 2),
     ]
-    own = own.withColumn("wps", wps).withColumn("extra", reduce(lambda a, b: a + b, (F.when(t, w).otherwise(0) for t, _, w in faults)))
-    own = own.withColumn("faults", F.array_compact(F.array(*(F.when(t, F.lit(r)) for t, r, _ in faults)))).drop("token_list")
-    per = explode_tokens(clips, pattern).groupBy("clip_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    per = per.join(scored.select("token", "lexicon_label", "suspicion_score", "suspicion_reasons"), "token")
+    own = own.withColumn("wps", wps).withColumn("faults", F.array_compact(F.array(*(F.when(t, F.lit(r)) for t, r, _ in faults))))
+    weights = F.create_map(*(F.lit(x) for _, r, w in faults for x in (r, w)))
+    # texts are gone through here, and not again for each use of what they have
+    own = written(own.select("clip_id", "dialect", "duration_sec", "wps", "n", "faults"), "clip-faults")
+    own = own.withColumn("extra", F.aggregate("faults", F.lit(0), lambda s, r: s + F.element_at(weights, r)))
+    per = written(explode_tokens(clips, pattern).groupBy("clip_id", "token").agg(F.count(F.lit(1)).alias("times")), "clip-tokens")
+    scored = written(scored.select("token", "lexicon_label", "suspicion_score", "suspicion_reasons"), "clip-scored")
+    per = per.join(scored.hint("merge"), "token")
     bad = F.col("suspicion_score") >= at_least
     sums = per.groupBy("clip_id").agg(
         F.sum(F.when(F.col("lexicon_label") == "UNKNOWN", F.col("times")).otherwise(0)).alias("unknown"), F.sum(F.when(bad, F.col("times")).otherwise(0)).alias("suspicious"),
@@ -194,11 +200,15 @@ def nearest_words(tokens: DataFrame, dictionary: DataFrame, least: float = 80.0)
     A similarity of ``least`` allows a number of insertions and deletions that follows from both lengths. A token cut into
     one piece more than that has a piece that no edit touches, so the word holds it at nearly the same place: tokens and
     words are joined by such pieces, and no other pair is formed. Of these the built-in edit distance, which isn't more
-    than insertions and deletions, lets few through to the exact comparison. Every word in reach is found.
+    than insertions and deletions, lets few through to the exact comparison. Every word in reach is found. A piece is never
+    longer than (200 - least) / (200 - 2 * least) letters, rounded up, so a word of any length has a few pieces a place,
+    and a token as many as it has letters for each length that words have.
     """
     share = (100.0 - least) / 100.0
+    longest = F.lit(math.ceil((200 - least) / (200 - 2 * least))) if least < 100 else F.col("size")
+    sizes = dictionary.select(F.length("word").alias("size")).where("size > 0").distinct()
     reach = lambda n: F.sequence(F.ceil(n * least / (200 - least)).cast("int"), F.floor(n * (200 - least) / least).cast("int"))
-    left = tokens.select("token").where("token <> ''").distinct().withColumn("size", F.explode(reach(F.length("token"))))
+    left = tokens.select("token").where("token <> ''").distinct().withColumn("size", F.explode(reach(F.length("token")))).join(sizes, "size")
     left = left.withColumn("edits", F.floor((F.length("token") + F.col("size")) * share + 1e-9).cast("int"))
     left = left.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("edits"))))
     cut = lambda i: F.floor(i * F.length("token") / (F.col("edits") + 1)).cast("int")
@@ -206,7 +216,7 @@ def nearest_words(tokens: DataFrame, dictionary: DataFrame, least: float = 80.0)
     left = left.select("token", "size", "edits", "at", "long", F.substring("token", F.col("at"), F.col("long")).alias("piece"))
     # a piece without a letter (more edits than letters) is in every word
     right = dictionary.select("word").where("word <> ''").distinct().withColumn("size", F.length("word")).withColumn("place", F.explode(F.sequence(F.lit(1), F.col("size"))))
-    right = right.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("size") - F.col("place") + 1))).select("word", "size", "place", F.substring("word", F.col("place"), F.col("n")).alias("piece"))
+    right = right.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.col("size") - F.col("place") + 1, longest)))).select("word", "size", "place", F.substring("word", F.col("place"), F.col("n")).alias("piece"))
     pairs = left.where("long > 0").join(right, ["size", "piece"]).where("abs(at - place) <= edits").select("token", "word", "edits")
     short = left.where("long = 0").join(right.select("word", "size").distinct(), "size").select("token", "word", "edits")
     pairs = pairs.unionByName(short).distinct().where(F.levenshtein("token", "word", 1000) <= F.col("edits"))

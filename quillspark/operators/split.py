@@ -130,14 +130,25 @@ def stratified_sample(rows: DataFrame, n: int, stratum: str, flag: str, key: str
     return ranked.orderBy(*order).limit(n).drop("_stratum", "_flagged", "_first", "_rank")
 
 
+#: Parts of a group whose first rows are found before the group's rows meet.
+GROUP_PARTS = 64
+
+
 def k_per_group(rows: DataFrame, k: int, group: str, flag: str, key: str, used: DataFrame | None = None, seed: int = 7) -> DataFrame:
-    """k rows of each group that aren't used yet: one flagged if there is one, the others unflagged first."""
+    """k rows of each group that aren't used yet: one flagged if there is one, the others unflagged first.
+
+    A group's parts are ranked each by itself, and of each its first k, so that no group is ordered whole in one task.
+    """
     left = rows if used is None else rows.join(used.select(key).distinct(), key, "left_anti")
-    h = shuffle_key(seed, key)
-    in_flag = F.row_number().over(Window.partitionBy(group, flag).orderBy(h, key))
-    wish = F.when(F.col(flag) & (in_flag == 1), 0).when(~F.col(flag), 1).otherwise(2)
-    ranked = left.withColumn("_wish", wish)
-    return ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy("_wish", h, key))).where(F.col("_rank") <= k).drop("_wish", "_rank")
+    left = left.withColumn("_h", shuffle_key(seed, key))
+    first = left.where(F.col(flag)).groupBy(F.col(group).alias("_group")).agg(F.min(F.struct("_h", key)).alias("_first"))
+    left = left.join(first, F.col(group).eqNullSafe(F.col("_group")), "left")
+    chosen = F.col(flag) & (F.struct("_h", key) == F.col("_first"))
+    left = left.withColumn("_wish", F.when(chosen, 0).when(~F.col(flag), 1).otherwise(2)).withColumn("_part", F.pmod(F.xxhash64("_h"), F.lit(GROUP_PARTS)))
+    order = ["_wish", "_h", key]
+    ranked = left.withColumn("_rank", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).where(F.col("_rank") <= k)
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_rank") <= k)
+    return ranked.drop("_h", "_group", "_first", "_wish", "_part", "_rank")
 
 
 def shards(rows: DataFrame, group: str, n: int) -> DataFrame:

@@ -183,6 +183,20 @@ def clip_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_clips(clips, _scored(spark, sf_dir), pattern=WORD).select("clip_id", "token_count", "unknown_token_count", "suspicious_token_count", "suspicion_score", "words_per_sec")
 
 
+@query(_SUSPICION + """, pt AS (SELECT clip_id, token, count(*) AS times FROM t GROUP BY ALL), sp AS (SELECT clip_id, token, times, reasons FROM pt JOIN sc USING (token) WHERE score >= 3),
+lw AS (SELECT clip_id, lower(transcript) AS transcript, duration_sec, regexp_extract_all(lower(transcript), '[a-zà-ɏ]+') AS w FROM c),
+ft AS (SELECT clip_id, unnest(list_filter([CASE WHEN contains(transcript, chr(65533)) THEN 'replacement_character' END, CASE WHEN duration_sec >= 4 AND len(w) > 0 AND len(w) / duration_sec < 0.8 THEN 'under_transcription' END,
+  CASE WHEN len(w) >= 6 AND len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) < len(w) - 2 THEN 'word_loop_hallucination' END,
+  CASE WHEN regexp_matches(transcript, '\\.\\.\\.\\s*$') THEN 'truncated_transcript' END], lambda r: r IS NOT NULL)) AS reason FROM lw),
+rs AS (SELECT clip_id, reason, sum(times) AS n FROM (SELECT clip_id, unnest(reasons) AS reason, times FROM sp UNION ALL SELECT clip_id, reason, 1 FROM ft) GROUP BY ALL),
+rl AS (SELECT clip_id, string_agg(reason || ':' || n, ';' ORDER BY n DESC, reason) AS suspicion_reasons FROM rs GROUP BY clip_id), tl AS (SELECT clip_id, string_agg(DISTINCT token, ';' ORDER BY token) AS suspicious_tokens FROM sp GROUP BY clip_id)
+SELECT clip_id, suspicion_reasons, coalesce(suspicious_tokens, '') AS suspicious_tokens FROM rl LEFT JOIN tl USING (clip_id)""")
+def clip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why clips are suspicious, the most frequent reasons first, and their suspicious tokens."""
+    clips = D.clips(spark, sf_dir).withColumns({"transcript": F.lower("transcript"), "avg_no_speech_prob": F.lit(None).cast("double")})
+    return quality.score_clips(clips, _scored(spark, sf_dir), pattern=WORD).select("clip_id", "suspicion_reasons", "suspicious_tokens")
+
+
 @query("WITH " + TOKENS + ", " + LEXICON + " SELECT DISTINCT token FROM t WHERE length(token) > 3 AND token NOT IN (SELECT token FROM lex)")
 def new_lexicon_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.writers import new_tokens
