@@ -194,7 +194,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, content (binary) of a table with doc_id and ids; null ids count as none."""
+    """doc_id, content (binary) of a table with doc_id and ids.
+
+    Null ids count as none and give empty content; an id that the vocabulary lacks is an error. Rows repeated with one
+    doc_id, and those with a null one, are decoded one by one; lists of any length whole. Other columns, whatever their
+    names, are left out; an empty table gives an empty result.
+    """
     codec = _codec(encoded, path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -458,6 +458,10 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
-    """docs without those that near_duplicates() doesn't keep; rows with a null id stay."""
+    """docs without those that near_duplicates() doesn't keep.
+
+    Of each component the smallest id stays, with all rows repeated under it, whatever their texts; rows with a null id,
+    and texts that are null, empty or without words, stay. Long texts are compared whole. All columns stay, whatever their
+    names; an empty table gives an empty result."""
     dropped = near_duplicates(docs, id_col, text_col, percent).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("dropped_id")).distinct()
     return docs.join(dropped.hint("merge"), F.col(id_col) == F.col("dropped_id"), "left_anti")

@@ -205,7 +205,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang", good: str = "quality") -> DataFrame:
     """The documents that quality_rules() keeps, whole. The statistics are computed once to find the cutoffs and again
-    beside the documents, which costs less than dealing all texts out for a join."""
+    beside the documents, which costs less than dealing all texts out for a join.
+
+    Null, empty and short texts fail the base rules; a null stratum is one of its own; repeated rows and rows with a null id
+    are judged one by one, by their own text; values at a cutoff are kept; long texts are read whole. All columns stay,
+    whatever their names. Without labels only the base rules reject; an empty table gives an empty result."""
     stats = materialise(with_stats(docs, id_col, text_col, stratum), "quality-stats")
     cutoffs = certify(stats, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(good).cast("int").alias("good")))
     whole = docs.select(F.struct(*docs.columns).alias("whole"), F.coalesce(F.col(stratum).cast("string"), F.lit("und")).alias("stratum"), F.col(text_col).cast("string").alias("text"))
