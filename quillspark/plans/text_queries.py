@@ -109,16 +109,21 @@ def folder_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.merge_folder_metadata(known, n.where(k > 5).select(F.col("n_name").alias("folder"), F.lit("default").alias("dialect")))
 
 
-_KEYS = "(SELECT unnest(['ft_whisper_bn_only', 'ft_whisper_cs_only', 'ft_wav2vec2_all', 'ft_wavlm_x', 'ft_whisper_all_lm', 'whisper_large']) AS model)"
+_KEYS = ("ft_whisper_bn_only", "ft_whisper_cs_only", "ft_wav2vec2_all", "ft_wavlm_x", "ft_whisper_all_lm", "whisper_large")
+_MODELS = f"(SELECT o_orderkey, {list(_KEYS)}[o_orderkey % 6 + 1] || CASE WHEN o_orderkey % 12 < 6 THEN '' ELSE '_' || o_orderstatus || CASE o_custkey % 3 WHEN 0 THEN '_lm' ELSE '' END END AS model FROM orders)"
 
 
-@query(f"""SELECT model, CASE WHEN model LIKE '%\\_lm' ESCAPE '\\' THEN 'lm' WHEN model LIKE 'ft\\_whisper\\_%' ESCAPE '\\' THEN 'whisper' WHEN model LIKE 'ft\\_wav2vec2\\_%' ESCAPE '\\' OR model LIKE 'ft\\_wavlm\\_%' ESCAPE '\\' THEN 'ctc' ELSE 'unknown' END AS family,
-CASE model WHEN 'ft_whisper_bn_only' THEN 'ft_bn_only' ELSE model END AS folder FROM {_KEYS}""")
+@query(f"""SELECT o_orderkey, model, CASE WHEN model LIKE '%\\_lm' ESCAPE '\\' THEN 'lm' WHEN model LIKE 'ft\\_whisper\\_%' ESCAPE '\\' THEN 'whisper' WHEN model LIKE 'ft\\_wav2vec2\\_%' ESCAPE '\\' OR model LIKE 'ft\\_wavlm\\_%' ESCAPE '\\' THEN 'ctc' ELSE 'unknown' END AS family,
+CASE WHEN model = 'ft_whisper_bn_only' AND EXISTS (SELECT 1 FROM customer WHERE c_custkey % 3 = 0) THEN 'ft_bn_only' ELSE model END AS folder FROM {_MODELS}""")
 def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of model keys, and folders under legacy names."""
-    models = spark.createDataFrame([(m,) for m in ("ft_whisper_bn_only", "ft_whisper_cs_only", "ft_wav2vec2_all", "ft_wavlm_x", "ft_whisper_all_lm", "whisper_large")], "model string")
-    folders = spark.createDataFrame([("ft_bn_only",), ("ft_whisper_cs_only",), ("ft_cs_only",)], "folder string")
-    return ingest.model_folder(models, folders).select("model", ingest.model_family(F.col("model")).alias("family"), "folder")
+    o, c = D.table(spark, sf_dir, "orders"), D.table(spark, sf_dir, "customer")
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    run = F.concat(F.lit("_"), F.col("o_orderstatus"), F.when(F.col("o_custkey") % 3 == 0, "_lm").otherwise(""))
+    models = o.select("o_orderkey", F.concat(key, F.when(F.col("o_orderkey") % 12 < 6, "").otherwise(run)).alias("model"))
+    kind = F.col("c_custkey") % 3
+    folders = c.select(F.when(kind == 0, "ft_bn_only").when(kind == 1, "ft_whisper_cs_only").otherwise("ft_cs_only").alias("folder"))
+    return ingest.model_folder(models, folders).select("o_orderkey", "model", ingest.model_family(F.col("model")).alias("family"), "folder")
 
 
 @query("""WITH """ + CLIP_SQL + """, a AS (SELECT audio_path FROM cl WHERE CAST(clip_id AS BIGINT) % 5 > 0) SELECT clip_id FROM cl WHERE audio_path IN (SELECT audio_path FROM a) AND trim(transcript) <> ''""")
