@@ -28,6 +28,8 @@ BLANK = np.zeros(256, bool)
 BLANK[0x20] = True
 #: Bits of a filter: so many for each frequent phrase, and 16 MB at most.
 BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Bytes of text that are counted together: with more the arrays of a worker, beside a heap full of counts, are too much.
+PASS_BYTES = 1_000_000
 #: Parts in which the candidates of a language are ranked before their best meet.
 PARTS = 64
 #: Language of documents without one; the phrase under which all of a language's words are counted.
@@ -83,7 +85,7 @@ def phrase_counts(texts: DataFrame, width: int, frequent: Filter | None) -> Data
             langs = batch.column(0).dictionary_encode()
             lang_of, names = np.asarray(langs.indices), langs.dictionary
             body = filled(batch, "text")
-            for a, b in passes(body):
+            for a, b in passes(body, PASS_BYTES):
                 words = words_of(body[a:b], lower=True, between=BETWEEN, ends=ENDS)
                 sizes = np.diff(words.bounds)
                 lang = np.repeat(lang_of[a:b], sizes)
@@ -102,7 +104,8 @@ def phrase_counts(texts: DataFrame, width: int, frequent: Filter | None) -> Data
                     name, phrase = pa.concat_arrays([name, names]), pa.concat_arrays([phrase, pa.array([ALL_WORDS] * len(names), pa.string())])
                     times = np.append(times, all_words)
                 out = pa.RecordBatch.from_arrays([name, phrase, pa.array(times, pa.int64())], ["lang", "phrase", "n"])
-                yield from (out.slice(k, 1 << 16) for k in range(0, out.num_rows, 1 << 16))
+                yield out
+            pa.default_memory_pool().release_unused()
 
     rows = texts.select("lang", "text").mapInArrow(run, "lang string, phrase string, n long")
     return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
