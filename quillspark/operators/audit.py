@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,6 +77,74 @@ def checksum(rows: DataFrame, key: str, *by: str) -> DataFrame:
     return parts.groupBy(*by).agg(whole.alias("checksum"), F.sum("_n").alias("n"))
 
 
+#: Bytes of sorted keys in a row of a list that list_checksum() hashes.
+PIECE_BYTES = 4_000_000
+
+
+def list_checksum(rows: DataFrame, key: str, *by: str) -> DataFrame:
+    """SHA-256 of each list's sorted keys joined by newlines, however long it is, and the number of its rows.
+
+    Null keys are counted, but not listed; a list without any other has a null sum. Keys are sorted over all tasks and
+    joined into pieces of about PIECE_BYTES. One hash has to go through a list from beginning to end: the pieces are handed
+    to it in their order, and neither a task nor a row holds more than a few of them.
+    """
+    kinds = rows.select(*by).schema.fields
+    names = [f"_by_{i}" for i in range(len(by))]
+    given = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, kinds, strict=True)) + ("," if by else "")
+    text = rows.select(*(F.col(c).alias(n) for c, n in zip(by, names, strict=True)), F.col(key).cast("string").alias("_key"))
+    ordered = text.repartitionByRange(*names, "_key").sortWithinPartitions(*names, "_key")
+    ordered = ordered.select(*names, F.spark_partition_id().alias("_part"), "_key")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, at, part, number, held, size, n = None, None, 0, 0, [], 0, 0
+
+        def piece() -> pa.RecordBatch:
+            text = "\n".join(held) if held else None
+            return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(at, schema, strict=True)), pa.array([part], pa.int32()), pa.array([number]), pa.array([text], pa.string()), pa.array([n])], [*names, "_part", "_number", "_text", "_n"])
+
+        for batch in batches:
+            schema = [batch.column(i).type for i in range(len(names))]
+            for *own, part_, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if n and (own != at or size > PIECE_BYTES):
+                    yield piece()
+                    number, held, size, n = number + 1, [], 0, 0
+                at, part, n = own, part_, n + 1
+                if value is not None:
+                    held.append(value)
+                    size += len(value) + 1
+        if n:
+            yield piece()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema, at, digest, n = None, None, None, 0
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip(at, schema, strict=True)), pa.array([digest and digest.hexdigest()], pa.string()), pa.array([n])], [*names, "checksum", "n"])
+
+        for batch in batches:
+            schema = [batch.column(i).type for i in range(len(names))]
+            for i in range(batch.num_rows):
+                own = [batch.column(k)[i].as_py() for k in range(len(names))]
+                if n and own != at:
+                    yield whole()
+                    digest, n = None, 0
+                at, n = own, n + batch.column("_n")[i].as_py()
+                text = batch.column("_text")[i].as_py()
+                if text is not None:
+                    if digest is None:
+                        digest = hashlib.sha256()
+                    else:
+                        digest.update(b"\n")
+                    digest.update(text.encode())
+        if n:
+            yield whole()
+
+    pieces = ordered.mapInArrow(joined, f"{given} _part int, _number long, _text string, _n long")
+    dealt = pieces.repartition(*names) if by else pieces.coalesce(1)
+    sums = dealt.sortWithinPartitions(*names, "_part", "_number").mapInArrow(hashed, f"{given} checksum string, n long")
+    return sums.select(*(F.col(n).alias(c) for n, c in zip(names, by, strict=True)), "checksum", "n")
+
+
 def ngram_counts(rows: DataFrame, words: Column, n: int = 5) -> DataFrame:
     """n-grams of words and their counts, for a language model of order n."""
     w = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))

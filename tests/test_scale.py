@@ -73,6 +73,27 @@ def test_checksum_in_blocks(spark, monkeypatch):
     assert audit.checksum(df.where(F.lit(False)), "id").count() <= 1
 
 
+def test_split_checksum_of_long_lists_is_that_of_the_sql(spark, monkeypatch, tmp_path):
+    rows = [(k, None if k % 5 == 4 else f"s{k % 5}") for k in range(300)] + [(None, "s0"), (None, "empty")]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string").repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(audit, "BLOCK_KEYS", 10)
+    want = {}
+    for k, s in rows:
+        want.setdefault(s, []).append(k)
+    digest = lambda keys: hashlib.sha256("\n".join(keys).encode()).hexdigest() if keys else None
+    want = {s: (digest(sorted(str(k) for k in keys if k is not None)), len(keys)) for s, keys in want.items()}
+    got = corpus_queries.split_checksum(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r.c_mktsegment: (r.checksum, r.n) for r in got} == want
+
+
+def test_list_checksum_in_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{k:04d}" * (k % 4),) for k in range(500)], "id string").repartition(5)
+    monkeypatch.setattr(audit, "PIECE_BYTES", 50)
+    want = hashlib.sha256("\n".join(sorted(r.id for r in df.collect())).encode()).hexdigest()
+    assert [tuple(r) for r in audit.list_checksum(df, "id").collect()] == [(want, 500)]
+    assert not audit.list_checksum(df.where(F.lit(False)), "id").collect()
+
+
 def test_components_equal_brute_force(spark, tmp_path):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(80)) for _ in range(75)]
